@@ -32,6 +32,21 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), 24).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motifloom.llm.licenses import scan_licenses
+
+    found = scan_licenses(_table(spark, sf_dir, "documents"), ["doc_id"])
+    lines = F.filter("matches", lambda x: x["line"] >= 0)
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda x: x["license"]))), ",")
+    return found.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.exists("matches", lambda x: x["line"] < 0).alias("whole_text"), names.alias("licenses"), F.array_max(F.transform("matches", lambda x: x["score"])).alias("best_score"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motifloom.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
