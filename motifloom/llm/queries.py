@@ -32,6 +32,12 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), 24).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motifloom.llm.quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ["doc_id"])
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motifloom.llm.licenses import scan_licenses
 
