@@ -32,6 +32,12 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), 24).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motifloom.llm.vectors import link_vectors
+
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motifloom.llm.quality import score_quality
 
