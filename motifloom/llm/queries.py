@@ -38,6 +38,12 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motifloom.llm.shingle_join import similar_documents
+
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motifloom.llm.quality import score_quality
 
