@@ -70,18 +70,8 @@ def _settle(units: str, level: int, seed: int) -> str:
     return f"aggregate({units}, cast(named_struct('open', {none}, 'done', array()) as {keep}), (s, x) -> cast(if(s.open is null, named_struct('open', x, 'done', s.done), {moved}) as {keep}))"
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = BLOCK) -> DataFrame:
-    """How often each document is taken so that its source comes near its target.
-
-    Returns ``doc_id``, ``source``, ``size`` (words), ``source_size``,
-    ``target`` (the source's, double), ``copies`` and ``taken`` (size times
-    copies). Copies are the source's target / size rounded down or up, so at
-    most ``most`` rounded up; reruns agree, as all randomness is a hash of ids
-    and ``seed``. A null text has size 0 and is never drawn; null and empty
-    sources are sources; rows equal in doc_id, source and size are rounded
-    together and all kept; an empty table gives an empty table. Other columns
-    are not read.
-    """
+def _rounded(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int, block: int) -> DataFrame:
+    """Units (``key``, rows equal in ``doc_id``, ``source`` and ``size``, ``n`` of them) with their ``copies``."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     # Rows that repeat are one unit, so that blocks can't overflow with them.
     units = durable(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-units")
@@ -121,6 +111,29 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     for more in settled[1:]:
         rounded = rounded.unionByName(more)
     copies = (F.col("base") + F.coalesce(F.col("extra"), F.lit(0))).cast("long")
-    result = prepared.join(rounded, "key", "left").withColumn("copies", copies)
+    return prepared.join(rounded, "key", "left").withColumn("copies", copies)
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = BLOCK) -> DataFrame:
+    """How often each document is taken so that its source comes near its target.
+
+    Returns ``doc_id``, ``source``, ``size`` (words), ``source_size``,
+    ``target`` (the source's, double), ``copies`` and ``taken`` (size times
+    copies). Copies are the source's target / size rounded down or up, so at
+    most ``most`` rounded up; reruns agree, as all randomness is a hash of ids
+    and ``seed``. A null text has size 0 and is never drawn; null and empty
+    sources are sources; rows equal in doc_id, source and size are rounded
+    together and all kept; an empty table gives an empty table. Other columns
+    are not read.
+    """
+    result = _rounded(docs, weights, share, most, seed, block)
     repeated = F.explode(F.when(F.col("n") == 1, F.array(F.lit(1).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return result.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), repeated.alias("_")).drop("_")
+
+
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it; a document of no words is never drawn, so it goes."""
+    copies = _rounded(docs, weights, share, most, seed, block).where("copies > 0 and size > 0").select(F.col("key").alias("__key"), "copies")
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")))
+    taken = docs.withColumn("__own", own).join(copies.withColumnRenamed("copies", "__copies"), F.col("__own") == F.col("__key"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

@@ -113,12 +113,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENE
     words = F.expr(f"transform(array_distinct(regexp_extract_all(lower(text), '{_TERM}', 0)), w -> xxhash64(w))")
     word_docs = _keyed(docs).select(F.explode(words).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
     entity_docs = found.select("row_key", F.explode("found").alias("one")).groupBy(F.expr("lower(one.value)").alias("entity")).agg(F.count_distinct("row_key").alias("n_e"))
-    n = found.agg(F.count("*").alias("n"))
+    n = F.lit(found.count())
 
-    known = F.log2(F.col("n") / F.col("n_e"))
-    told = F.log2(F.col("n_te") * F.col("n") / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    judged = pairs.join(entity_docs, "entity").withColumn("h", F.xxhash64("term")).join(word_docs, "h").join(F.broadcast(n))
-    part = F.when(F.col("n_e") < F.col("n"), told / known).otherwise(F.lit(0.0))
+    known = F.log2(n / F.col("n_e"))
+    told = F.log2(F.col("n_te") * n / (F.greatest("n_t", "n_te") * F.col("n_e")))
+    judged = pairs.join(entity_docs, "entity").withColumn("h", F.xxhash64("term")).join(word_docs, "h")
+    part = F.when(F.col("n_e") < n, told / known).otherwise(F.lit(0.0))
     action = F.when(part >= remove, F.lit("remove")).when(part >= generalise, F.lit("generalise"))
     judged = judged.select("entity", "term", action.alias("action")).where("action is not null")
     # A word beside two entities is removed if either asks for it.

@@ -304,19 +304,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, fetch) -> DataFrame:
     return durable(both.where(100 * F.col("common") >= 75 * (F.size("tokens_a") + F.size("tokens_b") - F.col("common"))).select("a", "b"), "join-links")
 
 
-def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Group documents whose sets of ``width``-word shingles have a Jaccard similarity of at least 3/4.
-
-    Takes ``doc_id`` and ``text``; returns for each row ``doc_id``,
-    ``n_shingles`` and ``component_id``, the least id reachable by links, its
-    own included. A text of fewer words has its whole sequence as its only
-    shingle; null texts and texts without words have empty sets and link with
-    nothing, so their group is their own id. Rows that repeat, and texts with
-    equal sets, are one set from the start. Rows with a null id link like
-    others, and get the least known id of their group, or null. An empty table
-    gives an empty table. Other columns are not read. Shingles and sets are
-    compared by 64-bit hashes.
-    """
+def _grouped(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id``, ``key`` (of the text), ``set``, ``n``, and ``component`` and its least id (``reached``) of each row; empty sets have no component."""
     spark = docs.sparkSession
     ship(spark)
     text = F.col("text").cast("string")
@@ -374,6 +363,40 @@ def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     least = classes.select("set", "least").join(groups.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = durable(least, "join-groups")
     reached = least.groupBy("component").agg(F.min("least").alias("reached"))
-    named = least.join(reached, "component").select("set", "reached")
-    return told.select("doc_id", "set", "n").join(named, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("reached")).alias("component_id"))
+    named = least.join(reached, "component").select("set", "component", "reached")
+    return told.select("doc_id", "key", "set", "n").join(named, "set", "left")
+
 
+def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
+    """Group documents whose sets of ``width``-word shingles have a Jaccard similarity of at least 3/4.
+
+    Takes ``doc_id`` and ``text``; returns for each row ``doc_id``,
+    ``n_shingles`` and ``component_id``, the least id reachable by links, its
+    own included. A text of fewer words has its whole sequence as its only
+    shingle; null texts and texts without words have empty sets and link with
+    nothing, so their group is their own id. Rows that repeat, and texts with
+    equal sets, are one set from the start. Rows with a null id link like
+    others, and get the least known id of their group, or null. An empty table
+    gives an empty table. Other columns are not read. Shingles and sets are
+    compared by 64-bit hashes.
+    """
+    own = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("reached"))
+    return _grouped(docs, width).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group of ``similar_documents`` the row of the least id stays.
+
+    Known ids come before null ones; of rows that are equal in id and text one
+    stays. Texts without shingles are nobody's duplicates and all stay. Only
+    the ids of what goes are joined to the texts.
+    """
+    told = durable(_grouped(docs, width).where("set is not null").select("component", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key").alias("row")), "dedup-rows")
+    best = told.groupBy("component").agg(F.min("row").alias("best"))
+    judged = told.groupBy("component", "row").agg(F.count("*").alias("n")).join(best, "component")
+    gone = durable(judged.where("row != best or n > 1").select(F.col("row.doc_id").alias("__id"), F.col("row.key").alias("__key"), (F.col("row") == F.col("best")).alias("__one")), "dedup-gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    key = F.xxhash64(F.col("text").cast("string"))
+    marked = docs.withColumn("__own", key).join(side, (F.col("__own") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    stays = marked.where("__key is null").select(*docs.columns)
+    return stays.unionByName(marked.where("__one").dropDuplicates(["__id", "__key"]).select(*docs.columns))
