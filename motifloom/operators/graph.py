@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,11 +21,10 @@ def global_rank(df: DataFrame, by: list[Column]) -> DataFrame:
     partitioned rows are checkpointed, as range bounds are sampled anew on
     every evaluation.
     """
-    ranged = df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
-    if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        ranged = ranged.checkpoint()
-    else:
-        ranged = ranged.persist()
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:  # a cluster names its shared folder in spark.checkpoint.dir; tests may not
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="motifloom-"))
+    ranged = df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()).checkpoint()
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     inner = ranged.withColumn("__rn", F.row_number().over(Window.partitionBy("__part").orderBy(*by)))
