@@ -9,18 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm.durable import durable
+from motifloom.llm.durable import columns, durable
 from motifloom.llm.mixing import take_mix
 from motifloom.llm.packing import pack_documents
 from motifloom.llm.pii import sanitise
-from motifloom.llm.quality import score_quality
+from motifloom.llm.quality import accepted
 from motifloom.llm.shingle_join import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_quality(docs, labels, docs.columns).where("accepted = 1").select(*docs.columns)
+    return accepted(docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with sanitised texts, and ``n_chars`` of those."""
-    clean = sanitise(docs).select(*docs.columns)
+    clean = sanitise(docs).select(*columns(docs))
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 

@@ -36,6 +36,23 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[str]:
+    """The columns of ``df``, quoted, so that names with dots are names."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 _shipped: set[str] = set()
 
 

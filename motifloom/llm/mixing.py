@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifloom.llm.durable import durable
+from motifloom.llm.durable import columns, durable, fresh
 
 #: Mean number of fractions of a block.
 BLOCK = 64
@@ -133,7 +133,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix_sources`` takes it; a document of no words is never drawn, so it goes."""
-    copies = _rounded(docs, weights, share, most, seed, block).where("copies > 0 and size > 0").select(F.col("key").alias("__key"), "copies")
+    copies = _rounded(docs, weights, share, most, seed, block).where("copies > 0 and size > 0")
+    mine, key, times, copy = fresh(docs, "own_key", "unit_key", "copies", "copy")
+    copies = copies.select(F.col("key").alias(key), F.col("copies").alias(times))
     own = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")))
-    taken = docs.withColumn("__own", own).join(copies.withColumnRenamed("copies", "__copies"), F.col("__own") == F.col("__key"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    taken = docs.withColumn(mine, own).join(copies, F.col(mine) == F.col(key))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*columns(docs))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.durable import durable
+from motifloom.llm.durable import columns, durable, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that are held against it.
@@ -87,7 +87,7 @@ def _terms(part: str, base: str) -> str:
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     """Texts (null: empty) with a key that rows of the same id and text share."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("__text", text).select(*more, F.xxhash64("doc_id", "__text").alias("row_key"), F.col("__text").alias("text"))
+    return docs.select(*more, F.xxhash64(F.col("doc_id"), text).alias("row_key"), text.alias("text"))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -129,7 +129,8 @@ def sanitise(docs: DataFrame, rewrite: bool = True, **thresholds) -> DataFrame:
     """Find personal data and disclosing words.
 
     Returns the columns of ``docs`` (with ``rewrite``, ``text`` is the
-    sanitised text; it stays null where it was) and ``pii_spans``: an array of
+    sanitised text; it stays null where it was) and ``pii_spans``, which
+    replaces a column of that name: an array of
     kind, start and end (code points, end exclusive), kinds ``email``, ``ip``,
     ``card``, ``phone``, then ``generalise`` and ``remove``. In the text, base
     spans become ``<EMAIL>`` and so on, generalised words ``<TERM>`` and
@@ -145,11 +146,12 @@ def sanitise(docs: DataFrame, rewrite: bool = True, **thresholds) -> DataFrame:
     spans = f"transform(concat(transform(found, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end)), coalesce(more, cast(array() as array<struct<kind:int,start:bigint,end:bigint>>))), x -> named_struct('kind', array({names})[x.kind], 'start', x.start, 'end', x.end))"
     if not rewrite:
         return found.join(more, "row_key", "left").select("doc_id", F.expr(spans).alias("pii_spans"))
-    by_key = found.where(F.size("found") > 0).select("row_key", "found").dropDuplicates(["row_key"]).join(more, "row_key", "left").select(F.col("row_key").alias("__key"), F.expr(spans).alias("__spans"))
-    marked = docs.withColumn("__key0", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))).join(by_key, F.col("__key0") == F.col("__key"), "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.expr(_rewritten("text", "__spans")))
+    own, key, told = fresh(docs, "own_key", "row_key", "spans")
+    by_key = found.where(F.size("found") > 0).select("row_key", "found").dropDuplicates(["row_key"]).join(more, "row_key", "left").select(F.col("row_key").alias(key), F.expr(spans).alias(told))
+    marked = docs.withColumn(own, F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))).join(by_key, F.col(own) == F.col(key), "left")
+    text = F.when(F.col(told).isNull(), F.col("text")).otherwise(F.expr(_rewritten("text", told)))
     empty = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")
-    return marked.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce("__spans", empty).alias("pii_spans"))
+    return marked.select(*[text.alias("text") if c == "`text`" else F.col(c) for c in columns(docs) if c != "`pii_spans`"], F.coalesce(told, empty).alias("pii_spans"))
 
 
 def _rewritten(text: str, spans: str) -> str:

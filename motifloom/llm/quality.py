@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from motifloom.llm.durable import durable, ship
+from motifloom.llm.durable import columns, durable, fresh, ship
 from motifloom.llm.textkit import Words, chunks, text_buffer
 from motifloom.llm.toxicity import fit_logistic
 
@@ -157,8 +158,10 @@ def _view_rows(docs: DataFrame, keep: list[str], finish, extra: str) -> DataFram
     absent = F.lit(None).cast("string")
     side = [(F.col(c).cast("string") if c in docs.columns else absent).alias(f"__{c}") for c in ("text", "source", "lang")]
     narrow = docs.select(*keep, *side)
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[: len(keep)]] + [extra])
-    names = [*keep, *(x.split()[0] for x in extra.split(", "))]
+    names = [*narrow.columns[: len(keep)], *T.StructType.fromDDL(extra).names]
+    # Columns go through Python by place, so that any name will do.
+    narrow = narrow.toDF(*[f"c{k}" for k in range(len(narrow.columns))])
+    out = T.StructType([*narrow.schema.fields[: len(keep)], *T.StructType.fromDDL(extra).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(keep)
@@ -167,9 +170,9 @@ def _view_rows(docs: DataFrame, keep: list[str], finish, extra: str) -> DataFram
             source, lang = batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist()
             for first, last in chunks(at):
                 made = finish(*views(raw, at, first, last, source[first:last], lang[first:last]))
-                yield pa.RecordBatch.from_arrays([c.slice(first, last - first) for c in batch.columns[:k]] + made, names=names)
+                yield pa.RecordBatch.from_arrays([c.slice(first, last - first) for c in batch.columns[:k]] + made, names=out.names)
 
-    return narrow.mapInArrow(run, out)
+    return narrow.mapInArrow(run, out).toDF(*names)
 
 
 def _rows(x: np.ndarray) -> pa.Array:
@@ -186,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
     pool = ids.distinct().join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool_rows).withColumn("quality", F.lit(None).cast(known.schema["quality"].dataType))
     sample = durable(chosen.unionByName(pool), "quality-sample")
-    own = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id")
+    side = [c for c in ("text", "source", "lang") if c in docs.columns]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *side).join(F.broadcast(sample), "doc_id")
     made = _view_rows(own, ["doc_id", "quality"], lambda a, b: [_rows(a), _rows(b)], "content array<float>, metadata array<float>")
     rows = made.dropDuplicates(["doc_id"]).orderBy(order, "doc_id").toArrow()
     table = lambda name, width: np.asarray(rows[name].combine_chunks().flatten(), np.float32).reshape(-1, width) if rows.num_rows else np.zeros((0, width), np.float32)
@@ -207,3 +211,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFr
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     scored = _view_rows(docs, keep, lambda a, b: [pa.array(x) for x in model.value.scores(a, b)], "quality_score double, content_score double, metadata_score double")
     return scored.withColumn("accepted", (F.col("quality_score") >= ACCEPT_FROM).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    (score,) = fresh(docs, "quality_score")
+    scored = _view_rows(docs, columns(docs), lambda a, b: [pa.array(model.value.scores(a, b)[0])], f"`{score}` double")
+    return scored.where(F.col(score) >= ACCEPT_FROM).select(*columns(docs))
