@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.llm.components import connected_components
-from motifloom.llm.durable import durable, ship
+from motifloom.llm.durable import columns, durable, fresh, ship
 from motifloom.llm.textkit import Words, chunks, mix, shingles, signed, text_buffer
 
 #: Sets that may share a lane before it counts as common.
@@ -37,8 +37,6 @@ FLUSH_BYTES, PART_BYTES = 32 << 20, 16 << 20
 BLOCK_BYTES = 4 << 20
 #: Sets to fetch up to which their keys are sent to every executor; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: 64-bit words of the one-bit parity sketch.
-_BITS = 16
 #: Added to the band of the tokens that a set enters one by one, as its lanes are too few.
 _TOKENWISE = 64
 
@@ -53,6 +51,11 @@ def most_different(n: np.ndarray, band: np.ndarray) -> np.ndarray:
     return (n + np.minimum(4 * n // 3, np.left_shift(2, band) - 1)) // 7
 
 
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the one-bit sketches of sets of these sizes: 2 to 4 bits for a token, 256 bits at least."""
+    return np.maximum(4, np.left_shift(1, np.maximum(0, np.frexp(np.maximum(n, 1).astype(float))[1].astype(np.int64) - 1 + 2 - 6)))
+
+
 class Sets:
     """Token sets of a chunk: sorted (row, token), sizes, and a 64-bit name for each set."""
 
@@ -66,10 +69,26 @@ class Sets:
             at = self.begin[:-1][full]
             self.name[full] = mix(np.add.reduceat(mix(self.token ^ np.uint64(0x5851F42D4C957F2D)), at) + self.n[full].astype(np.uint64))
 
-    def bit_sketches(self) -> np.ndarray:
-        """rows x 16 words: a token flips one bit."""
-        flips = np.bincount(self.row * (64 * _BITS) + (self.token & np.uint64(64 * _BITS - 1)).astype(np.int64), minlength=len(self.n) * 64 * _BITS)
-        return np.packbits((flips & 1).astype(np.uint8).reshape(len(self.n), -1), axis=1, bitorder="little").view(np.uint64)
+    def bit_sketches(self) -> list[np.ndarray]:
+        """Words of each set's one-bit sketch, at least two bits for a token; a token flips the bit that its last digits name.
+
+        Of two sketches one may have twice the other's bits; its halves'
+        exclusive or is the sketch of the other's size.
+        """
+        out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(self.n)
+        words = sketch_words(self.n)
+        for size in np.unique(words[self.n > 0]):
+            rows = np.flatnonzero((words == size) & (self.n > 0))
+            step = max(1, (1 << 22) // (64 * int(size)))
+            for some in (rows[k : k + step] for k in range(0, len(rows), step)):
+                count = self.n[some]
+                place = np.arange(int(count.sum())) + np.repeat(self.begin[some] - (np.cumsum(count) - count), count)
+                bit = np.repeat(np.arange(len(some)), count) * (64 * int(size)) + (self.token[place] & np.uint64(64 * int(size) - 1)).astype(np.int64)
+                flips = np.bincount(bit, minlength=len(some) * 64 * int(size)) & 1
+                packed = np.packbits(flips.astype(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").view(np.uint64)
+                for r, bits in zip(some.tolist(), packed, strict=True):
+                    out[r] = bits
+        return out
 
     def lanes(self, rows: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index into ``rows``, band, signature) of each filled lane of the sets ``rows`` in the bands given beside them.
@@ -119,6 +138,11 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)), pa.array(signed(matrix.ravel())))
 
 
+def _ragged(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(rows)) if offsets[-1] else np.zeros(0, np.int64)))
+
+
 def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, key, set, n, bits, filled lanes in its own and the next band) of each text; set is null for an empty set."""
     for batch, first, last, sets in _each_sets(batches, 2, width):
@@ -129,7 +153,7 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         higher = np.concatenate([np.zeros(int((~none).sum()), np.int64), np.ones(len(rows) - int((~none).sum()), np.int64)])
         filled = np.zeros((len(sets.n), 2), np.uint64)
         filled[rows, higher] = count
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(signed(sets.name), mask=none), pa.array(sets.n.astype(np.int64)), _lists(sets.bit_sketches()), _lists(filled)], names=["doc_id", "key", "set", "n", "bits", "filled"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(signed(sets.name), mask=none), pa.array(sets.n.astype(np.int64)), _ragged(sets.bit_sketches()), _lists(filled)], names=["doc_id", "key", "set", "n", "bits", "filled"])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -225,83 +249,88 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(set, tokens) of each distinct set of the partition."""
-    known: set[int] = set()
-    for _, _, _, sets in _each_sets(batches, 0, width):
-        for r in np.flatnonzero(sets.n > 0).tolist():
-            name = int(sets.name[r])
-            if name not in known:
-                known.add(name)
-                own = sets.token[sets.begin[r] : sets.begin[r + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(sets.name[r : r + 1])), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(signed(own)))], names=["set", "tokens"])
-
-
 def similar(one: np.ndarray, two: np.ndarray) -> bool:
     """Whether two sorted token arrays have a Jaccard similarity of at least 3/4."""
     both = len(np.intersect1d(one, two, assume_unique=True))
     return 100 * both >= 75 * (len(one) + len(two) - both)
 
 
-def _block_links(names: np.ndarray, part: np.ndarray, bits: np.ndarray, tokens: list[np.ndarray], within: bool) -> list[tuple[int, int]]:
-    """Links that connect what similarity connects: within one part, or between two."""
+def _block_links(names: np.ndarray, part: np.ndarray, bits: list[np.ndarray], tokens: list[np.ndarray], within: bool) -> list[tuple[int, int]]:
+    """Links that connect what similarity connects: within one part, or between two.
+
+    Sets are taken by size, each against the smaller ones that the sizes allow;
+    of those that the sketches leave, the nearest come first, and none that is
+    connected already is compared.
+    """
     n = np.array([len(t) for t in tokens])
     order = np.argsort(n, kind="stable")
+    names, part, n, bits, tokens = names[order], part[order], n[order], [bits[k] for k in order], [tokens[k] for k in order]
+    words = np.array([len(b) for b in bits])
+    first = {int(w): int(np.searchsorted(words, w)) for w in np.unique(words)}
+    table = {w: np.stack(bits[at : int(np.searchsorted(words, w, side="right"))]) for w, at in first.items()}
     root = np.arange(len(n))
     out = []
-    for k in range(1, len(order)):
-        x = order[k]
-        low = np.searchsorted(n[order[:k]], -(-3 * n[x] // 4))
-        others = order[low:k]
-        if not within:
-            others = others[part[others] != part[x]]
-        if not len(others):
-            continue
-        apart = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1)
-        near = apart <= (n[others] + n[x]) // 7
-        for y in others[near][np.argsort(apart[near], kind="stable")]:
-            if root[y] != root[x] and similar(tokens[x], tokens[y]):
-                out.append((int(names[x]), int(names[y])))
-                root[root == root[x]] = root[y]
+    for x in range(1, len(n)):
+        low = int(np.searchsorted(n, -(-3 * n[x] // 4)))
+        for w in {int(words[x]), int(words[x]) // 2} & set(first):
+            start = max(low, first[w])
+            stop = min(x, first[w] + len(table[w]))
+            if start >= stop:
+                continue
+            own = bits[x] if w == words[x] else bits[x][:w] ^ bits[x][w:]
+            others = np.arange(start, stop)
+            fine = root[others] != root[x]
+            if not within:
+                fine &= part[others] != part[x]
+            others = others[fine]
+            apart = np.bitwise_count(table[w][others - first[w]] ^ own).sum(axis=1)
+            near = apart <= (n[others] + n[x]) // 7
+            for y in others[near][np.argsort(apart[near], kind="stable")]:
+                if root[y] != root[x] and similar(tokens[x], tokens[y]):
+                    out.append((int(names[x]), int(names[y])))
+                    root[root == root[x]] = root[y]
     return out
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks in rows that follow one another: (cluster, lo, hi, part, set, bits, tokens)."""
-    held: list[tuple] = []
+def _compare_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Blocks in rows that follow one another: (cluster, lo, hi, part, set, text)."""
+    held: dict[int, tuple[int, str]] = {}  # by set, as rows may repeat
     now = None
 
     def work() -> pa.RecordBatch | None:
-        names, part, bits, tokens = zip(*held, strict=True)
+        names, (part, texts) = list(held), zip(*held.values(), strict=True)
         held.clear()
-        links = _block_links(np.array(names), np.array(part), np.stack(bits), list(tokens), now[1] == now[2])
+        tokens, bits = [], []
+        whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+        for _, _, _, sets in _each_sets(iter([whole]), 0, width):
+            tokens += np.split(sets.token, sets.begin[1:-1])
+            bits += sets.bit_sketches()
+        links = _block_links(np.array(names), np.array(part), bits, tokens, now[1] == now[2])
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"]) if links else None
 
     for batch in batches:
         ids = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "lo", "hi")), strict=True))
-        for k, block in enumerate(ids):
+        for block, part, name, text in zip(ids, batch.column("part").to_pylist(), batch.column("set").to_pylist(), batch.column("text"), strict=True):
             if block != now and held and (out := work()):
                 yield out
             now = block
-            bits, tokens = (np.array(batch.column(c)[k].values.to_numpy(zero_copy_only=False)).view(np.uint64) for c in ("bits", "tokens"))
-            held.append((batch.column("set")[k].as_py(), batch.column("part")[k].as_py(), bits, tokens))
+            held[name] = (part, text.as_py())
     if held and (out := work()):
         yield out
 
 
 def _differ(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    """Bits in which two sketches differ, the longer folded to the other's size; sets of further sizes aren't similar."""
+    count = lambda x, y: f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    folded = lambda long, short: f"transform(slice({long}, 1, size({short})), (x, i) -> x ^ get({long}, i + size({short})))"
+    return F.expr(f"case when size({a}) = size({b}) then {count(a, b)} when size({a}) = 2 * size({b}) then {count(folded(a, b), b)} when size({b}) = 2 * size({a}) then {count(a, folded(b, a))} else 2147483647 end")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, fetch) -> DataFrame:
-    """The pairs (``a``, ``b``) that are similar: those that the bit sketches leave, by their token sets."""
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sizes and bit sketches don't rule out that they are similar."""
     side = lambda x: classes.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("n_a", "n_b") * 4 >= F.greatest("n_a", "n_b") * 3) & (_differ("bits_a", "bits_b") <= F.floor((F.col("n_a") + F.col("n_b")) / 7)))
-    near = durable(near.select("a", "b"), "join-near")
-    tokens = fetch(near.select(F.col("a").alias("set")).union(near.select("b")))
-    own = lambda x: tokens.select(F.col("set").alias(x), F.col("tokens").alias(f"tokens_{x}"))
-    both = near.join(own("a"), "a").join(own("b"), "b").withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
-    return durable(both.where(100 * F.col("common") >= 75 * (F.size("tokens_a") + F.size("tokens_b") - F.col("common"))).select("a", "b"), "join-links")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return durable(both.where((F.least("n_a", "n_b") * 4 >= F.greatest("n_a", "n_b") * 3) & (_differ("bits_a", "bits_b") <= F.floor((F.col("n_a") + F.col("n_b")) / 7))).select("a", "b"), "join-near")
 
 
 def _grouped(docs: DataFrame, width: int) -> DataFrame:
@@ -311,7 +340,7 @@ def _grouped(docs: DataFrame, width: int) -> DataFrame:
     text = F.col("text").cast("string")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     told = durable(keyed.mapInArrow(lambda x: _describe(x, width), "doc_id long, key long, set long, n long, bits array<long>, filled array<long>"), "join-documents")
-    classes = durable(told.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("filled").alias("filled")), "join-sets")
+    classes = durable(told.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("filled").alias("filled")), "join-sets")
 
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     expected = classes.agg(F.sum("n")).first()[0] or 0
@@ -321,21 +350,18 @@ def _grouped(docs: DataFrame, width: int) -> DataFrame:
     met = durable(met, "join-met")
     lists = durable(met.where("band is null").groupBy("key").agg(F.first("sets").alias("sets")), "join-lists")
 
-    def fetch(wanted: DataFrame) -> DataFrame:
-        """``set`` and ``tokens`` of some sets, from one text of each."""
-        keys = durable(classes.join(wanted.distinct(), "set").select("key"), "join-wanted")
-        few = keys.count() <= BROADCAST_KEYS
-        own = keyed.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("text")
-        return durable(own.mapInArrow(lambda x: _tokens(x, width), "set long, tokens array<long>").dropDuplicates(["set"]), "join-tokens")
-
-    # First each list's least set against the others, then only what still is in different groups.
-    star = lists.select(F.col("sets")[0].alias("a"), F.explode(F.slice("sets", 2, COMMON)).alias("b")).distinct()
-    links = _verified(star, classes, fetch)
-    groups = connected_components(links)
-    member = lists.select("key", F.explode("sets").alias("node")).join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
-    mixed = member.groupBy("key").agg(F.collect_list(F.struct("node", "group")).alias("m"), F.count_distinct("group").alias("groups")).where("groups > 1 and size(m) > 2")
-    rest = mixed.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.group != x.group), y -> named_struct('a', least(x.node, y.node), 'b', greatest(x.node, y.node)))))")).alias("p")).select("p.*").distinct()
-    more = _verified(rest.join(star, ["a", "b"], "left_anti"), classes, fetch)
+    # Clusters of sets that may be similar. Sizes rule out most pairs of a list before their sketches are fetched: first
+    # those of its smallest set with the others, then those of sets that still are in different clusters.
+    sized = lists.select("key", F.explode("sets").alias("node")).join(classes.select(F.col("set").alias("node"), "n"), "node")
+    sized = durable(sized.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node"))).alias("m")), "join-sized")
+    pair = "named_struct('a', least(x.node, y.node), 'b', greatest(x.node, y.node))"
+    star = sized.select(F.explode(F.expr(f"transform(filter(slice(m, 2, size(m)), y -> 3 * y.n <= 4 * m[0].n), y -> transform(array(m[0]), x -> {pair})[0])")).alias("p")).select("p.*").distinct()
+    near = _near(star, classes)
+    member = sized.where("size(m) > 2").select("key", F.explode("m").alias("x")).select("key", "x.*").join(connected_components(near), "node", "left").select("key", F.struct("n", "node", F.coalesce("component", "node").alias("group")).alias("x"))
+    mixed = member.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("m"), F.count_distinct("x.group").alias("groups")).where("groups > 1")
+    rest = mixed.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.group != x.group and 3 * y.n <= 4 * x.n), y -> {pair})))")).alias("p")).select("p.*").distinct()
+    near = near.unionByName(_near(rest, classes))
+    placed = connected_components(near).select(F.col("node").alias("set"), F.xxhash64("component", F.lit(0)).alias("cluster"))
 
     # Sets that have too few lanes besides common ones, by band.
     common = met.where("band is not null").select(F.col("sets")[0].alias("set"), "band", "key")
@@ -348,18 +374,22 @@ def _grouped(docs: DataFrame, width: int) -> DataFrame:
     their = durable(common.join(needy, ["set", "band"]).select(F.xxhash64("set", "band").alias("node"), "key"), "join-common")
     hub = their.groupBy("key").agg(F.min("node").alias("hub"))
     coarse = connected_components(their.join(hub, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    placed = needy.withColumn("node", F.xxhash64("set", "band")).join(coarse, "node").select("set", "n", F.col("component").alias("cluster"))
-    placed = durable(placed, "join-clusters")
+    also = needy.withColumn("node", F.xxhash64("set", "band")).join(coarse, "node").select("set", F.xxhash64("component", F.lit(1)).alias("cluster"))
+
+    # Every cluster is compared exactly, in blocks of bounded size; one text of each set travels to its blocks.
+    placed = durable(placed.unionByName(also).distinct().join(classes.select("set", "n", "row"), "set"), "join-clusters")
     sizes = placed.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES).cast("int").alias("parts"))
-    tokens = fetch(placed.select("set"))
     dealt = placed.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("set", F.lit(9)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = ["cluster", "lo", "hi"]
-    dealt = dealt.select("cluster", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "set")
-    full = dealt.join(classes.select("set", "bits"), "set").join(tokens, "set").repartition(shuffles, *block).sortWithinPartitions(*block)
-    family = durable(full.select(*block, "part", "set", "bits", "tokens").mapInArrow(_compare_blocks, "a long, b long"), "join-families")
+    dealt = dealt.select("cluster", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "set", F.col("row.doc_id").alias("row_id"), F.col("row.key").alias("row_key"))
+    dealt = durable(dealt, "join-blocks")
+    side = F.broadcast(dealt) if dealt.count() <= BROADCAST_KEYS else dealt
+    texts = keyed.join(side, (F.col("key") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("row_id")))
+    full = texts.select(*block, "part", "set", "text").repartition(shuffles, *block).sortWithinPartitions(*block)
+    links = durable(full.mapInArrow(lambda x: _compare_blocks(x, width), "a long, b long"), "join-links")
 
-    groups = connected_components(links.unionByName(more).unionByName(family))
+    groups = connected_components(links)
     least = classes.select("set", "least").join(groups.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = durable(least, "join-groups")
     reached = least.groupBy("component").agg(F.min("least").alias("reached"))
@@ -394,9 +424,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     told = durable(_grouped(docs, width).where("set is not null").select("component", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key").alias("row")), "dedup-rows")
     best = told.groupBy("component").agg(F.min("row").alias("best"))
     judged = told.groupBy("component", "row").agg(F.count("*").alias("n")).join(best, "component")
-    gone = durable(judged.where("row != best or n > 1").select(F.col("row.doc_id").alias("__id"), F.col("row.key").alias("__key"), (F.col("row") == F.col("best")).alias("__one")), "dedup-gone")
+    own, id_, key, one = fresh(docs, "own_key", "gone_id", "gone_key", "stays")
+    gone = durable(judged.where("row != best or n > 1").select(F.col("row.doc_id").alias(id_), F.col("row.key").alias(key), (F.col("row") == F.col("best")).alias(one)), "dedup-gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    key = F.xxhash64(F.col("text").cast("string"))
-    marked = docs.withColumn("__own", key).join(side, (F.col("__own") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    stays = marked.where("__key is null").select(*docs.columns)
-    return stays.unionByName(marked.where("__one").dropDuplicates(["__id", "__key"]).select(*docs.columns))
+    marked = docs.withColumn(own, F.xxhash64(F.col("text").cast("string"))).join(side, (F.col(own) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left")
+    stays = marked.where(F.col(key).isNull()).select(*columns(docs))
+    return stays.union(marked.where(F.col(one)).dropDuplicates([id_, key]).select(*columns(docs)))
