@@ -7,16 +7,16 @@ expression thus says the same for either class. A text's score compares the
 length-normalised log-likelihoods of the whole text and of its most telling
 window, calibrated on labelled texts that the models haven't counted.
 
-Counts come from all labelled texts of the corpus, each distinct text once.
-N-grams of their own are those in at least max(3, 1/1000) of the toxic texts,
-so their number is at most 1,000 times the mean number of n-grams of a text,
-whatever the corpus; only that table goes to every executor.
+Every n-gram of either class is counted; none is dropped for being rare. The
+counts are a distributed table of n-grams and their log-likelihood ratios. Texts
+are dealt in blocks, and each block asks that table for its own different
+n-grams by their keys, so nothing that grows with the corpus is sent to every
+executor or to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.llm.durable import durable, ship
-from motifloom.llm.textkit import Words, chunks, mix, signed, text_buffer
+from motifloom.llm.textkit import CHUNK_BYTES, Words, chunks, mix, signed, text_buffer
 
 #: Standard errors by which a count is discounted: n loses this times sqrt(n), which its backoff gets.
 DISCOUNT = 2.0
-#: Share of the toxic texts that must hold an n-gram, and the least number of them.
-TOXIC_SHARE, TOXIC_LEAST = 1 / 1000, 3
 #: Words of the window whose mean is compared besides the whole text's.
 WINDOW = 4
 #: Labelled texts, at most, that calibrate the score.
 CALIBRATION_ROWS = 20_000
 #: Labelled rows up to which their ids are sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
+#: Bytes of text, about, that are scored as one block, and that are counted before counts are passed on.
+BLOCK_BYTES, COUNT_BYTES = 32 << 20, 8 << 20
 PREDICT_FROM = 0.3
 
 _GAP = np.ones(256, bool)
@@ -43,6 +43,7 @@ _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = _GAP[128:] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _PAIR = np.uint64(0x8EBC6AF09C88C6E3)
+_START = np.uint64(0x589965CC75374CC3)
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -51,13 +52,10 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def _grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hash, hash of the bigram that ends in it, whether it has a word before it)."""
-    has = np.zeros(len(words.hash), bool)
-    pair = np.zeros(len(words.hash), np.uint64)
-    if len(words.hash) > 1:
-        has[1:] = words.row[1:] == words.row[:-1]
-        pair[1:] = mix(words.hash[:-1] * _PAIR + words.hash[1:])
-    return words.hash, pair, has
+    """(hash of each word, of the word before it or of a text's start, of the bigram that they make)."""
+    before = np.full(len(words.hash), _START)
+    before[1:] = np.where(words.row[1:] == words.row[:-1], words.hash[:-1], _START)
+    return words.hash, before, mix(before * _PAIR + words.hash)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,54 +70,6 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(F.broadcast(firsts) if small else firsts, "doc_id")
 
 
-@dataclass
-class Model:
-    """Sorted n-gram hashes and log-likelihood ratios (toxic over ordinary) by what is known of a word and the one before."""
-
-    words: np.ndarray
-    word_q: np.ndarray  # 2 x words: probability of each word by class, without a context
-    word_gamma: np.ndarray  # 2 x words: mass that each word, as context, leaves to the lower order
-    pairs: np.ndarray
-    pair_p: np.ndarray  # 2 x pairs: discounted probability of each pair's last word after its first
-    rare_q: np.ndarray  # 2: probability of an unknown word, up to the factor that both classes share
-    weights: np.ndarray
-
-    def ratios(self, words: Words) -> np.ndarray:
-        """Log-likelihood ratio of each word."""
-        word, pair, has = _grams(words)
-        if not len(word):
-            return np.zeros(0)
-        at, known = _lookup(self.words, word)
-        q = np.where(known, self.word_q[:, at], self.rare_q[:, None]) if len(self.words) else np.repeat(self.rare_q[:, None], len(word), 1)
-        if len(self.words):
-            before, seen = np.roll(at, 1), np.roll(known, 1) & has
-            q = np.where(seen, q * self.word_gamma[:, before], q)
-        if len(self.pairs):
-            at, known = _lookup(self.pairs, pair)
-            q = q + np.where(known & has, self.pair_p[:, at], 0.0)
-        return np.log(q[0]) - np.log(q[1])
-
-    def features(self, words: Words) -> np.ndarray:
-        """rows x 2: mean ratio of each text, and the greatest mean of its windows (of shorter texts: the mean over a window's length)."""
-        out = np.zeros((words.rows, 2))
-        ratio = self.ratios(words)
-        if not len(ratio):
-            return out
-        count = words.per_row()
-        total = np.concatenate(([0.0], np.cumsum(ratio)))
-        begin = np.concatenate(([0], np.cumsum(count)))
-        full = count > 0
-        out[full, 0] = (total[begin[1:]] - total[begin[:-1]])[full] / count[full]
-        stop = np.minimum(np.arange(len(ratio)) + WINDOW, begin[1:][words.row])
-        window = (total[stop] - total[:-1]) / WINDOW
-        out[full, 1] = np.maximum.reduceat(window, begin[:-1][full])
-        return out
-
-    def scores(self, words: Words) -> np.ndarray:
-        x = np.column_stack([np.ones(words.rows), self.features(words)])
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-
-
 def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(table):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -127,76 +77,158 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == keys
 
 
-def _each_chunk(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, Words]]:
+def _each_chunk(batches: Iterator[pa.RecordBatch], column: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, int, int, Words]]:
     for batch in batches:
         raw, at = text_buffer(batch.column(column))
-        for first, last in chunks(at):
+        for first, last in chunks(at, limit):
             yield batch, first, last, Words(raw, at, first, last, _FOLD, _GAP)
 
 
-def _once_a_text(row: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Where each text's different n-grams are, sorted by n-gram."""
-    order = np.lexsort((row, key))
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (np.diff(key[order]) != 0) | (np.diff(row[order]) != 0)
-    return order[fresh]
-
-
-def _toxic_grams(texts: DataFrame) -> DataFrame:
-    """``pair`` (whether a bigram), ``first`` and ``key`` of each n-gram with the number of texts that have it."""
+def _counts(texts: DataFrame) -> DataFrame:
+    """``key``, ``first`` and ``last`` word of every bigram, a text's start being a word, and how often each class has it: ``n0`` toxic, ``n1`` ordinary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, words in _each_chunk(batches, 0):
-            word, pair, has = _grams(words)
+        for batch, first, last, words in _each_chunk(batches, 0, COUNT_BYTES):
+            word, before, pair = _grams(words)
             if not len(word):
                 continue
-            before = np.roll(word, 1)
-            for bigram, key, keep in ((False, word, np.ones(len(word), bool)), (True, pair, has)):
-                if not keep.any():
-                    continue
-                at = np.flatnonzero(keep)
-                at = at[_once_a_text(words.row[at], key[at])]
-                new = np.flatnonzero(np.concatenate(([True], np.diff(key[at]) != 0)))
-                texts_with = np.diff(np.append(new, len(at)))
-                at = at[new]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), bigram)), pa.array(signed(key[at])), pa.array(signed((before if bigram else key)[at])), pa.array(texts_with)], names=["pair", "key", "first", "n"])
-
-    rows = texts.select("text").mapInArrow(run, "pair boolean, key long, first long, n long")
-    return rows.groupBy("pair", "key").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-
-
-def _class_counts(texts: DataFrame, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """2 x (words + pairs + words + 1), by class: texts that hold each known word and pair; that, summed over all pairs from each word; and over all words."""
-    size = 2 * len(words) + len(pairs) + 1
-    tables = texts.sparkSession.sparkContext.broadcast((words, pairs))
+            ordinary = np.asarray(batch.column(1).to_numpy(zero_copy_only=False)[first:last] <= 0)[words.row]
+            key, at, of = np.unique(pair, return_index=True, return_inverse=True)
+            n = [np.bincount(of[ordinary == c], minlength=len(key)) for c in (False, True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(key), signed(before[at]), signed(word[at]), *n)], names=["key", "first", "last", "n0", "n1"])
+
+    rows = texts.select("text", "toxic").mapInArrow(run, "key long, first long, last long, n0 long, n1 long")
+    return rows.groupBy("key").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _discount(n: str) -> Column:
+    return F.least(F.col(n), DISCOUNT * F.sqrt(n))
+
+
+def _ratios(counts: DataFrame) -> tuple[DataFrame, float]:
+    """The model: ``key`` of every word and bigram with ``ratio``, its log-likelihood ratio (toxic over ordinary), and what a word as ``context`` adds to that of a word that was never seen after it; and the ratio of an unknown word."""
+    pairs = durable(counts, "toxic-pairs")
+    lower = pairs.groupBy(F.col("last").alias("word")).agg(F.sum("n0").alias("k0"), F.sum("n1").alias("k1")).withColumn("k", F.col("k0") + F.col("k1"))
+    lower = durable(lower, "toxic-words")
+    row = lower.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("k", "k0", "k1")], *[F.coalesce(F.sum(_discount(f"k{c}")), F.lit(0.0)).alias(f"d{c}") for c in (0, 1)]).first()
+    left = [row[f"d{c}"] / row[f"k{c}"] if row[f"k{c}"] else 1.0 for c in (0, 1)]
+    shared = F.col("k") / max(1, row["k"])
+    own = [(F.col(f"k{c}") - _discount(f"k{c}")) / max(1, row[f"k{c}"]) + left[c] * shared for c in (0, 1)]
+    lower = lower.select("word", own[0].alias("q0"), own[1].alias("q1"))
+    sums = [x for c in (0, 1) for x in (F.sum(f"n{c}").alias(f"c{c}"), F.sum(_discount(f"n{c}")).alias(f"s{c}"))]
+    contexts = pairs.groupBy(F.col("first").alias("word")).agg(*sums)
+    # A class that hasn't seen a context leaves all to the lower order.
+    contexts = contexts.select("word", "c0", "c1", *[F.when(F.col(f"c{c}") > 0, F.col(f"s{c}") / F.col(f"c{c}")).otherwise(F.lit(1.0)).alias(f"g{c}") for c in (0, 1)])
+    words = durable(lower.join(contexts, "word", "full"), "toxic-model-words")
+    p = [(F.col(f"n{c}") - _discount(f"n{c}")) / F.greatest(F.col(f"c{c}"), F.lit(1)) + F.col(f"g{c}") * F.col(f"q{c}") for c in (0, 1)]
+    after = pairs.join(words.select(F.col("word").alias("last"), "q0", "q1"), "last").join(words.select(F.col("word").alias("first"), "c0", "c1", "g0", "g1"), "first")
+    of_pairs = after.select("key", (F.log(p[0]) - F.log(p[1])).cast("float").alias("ratio"), F.lit(0.0).cast("float").alias("context"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0)).cast("float")
+    of_words = words.select(F.col("word").alias("key"), zero(F.log("q0") - F.log("q1")).alias("ratio"), zero(F.log("g0") - F.log("g1")).alias("context"))
+    return durable(of_pairs.unionByName(of_words), "toxic-model"), float(np.log(left[0]) - np.log(left[1]))
+
+
+def _features(words: Words, table: tuple[np.ndarray, np.ndarray, np.ndarray], rare: float) -> np.ndarray:
+    """rows x 2: mean ratio of each text, and the greatest mean of its windows (of shorter texts: the mean over a window's length)."""
+    out = np.zeros((words.rows, 2))
+    keys, ratios, contexts = table
+    word, before, pair = _grams(words)
+    if not len(word):
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words, known_pairs = tables.value
-        counts = np.zeros((2, size), np.int64)  # of the whole partition; its size is the table's
-        for batch, first, last, own in _each_chunk(batches, 0):
-            word, pair, has = _grams(own)
-            kind = 1 - np.asarray(batch.column(1).to_numpy(zero_copy_only=False)[first:last] > 0, np.int64)
-            before = np.roll(word, 1)
-            for bigram, key, keep in ((False, word, np.ones(len(word), bool)), (True, pair, has)):
-                spot = np.flatnonzero(keep)
-                spot = spot[_once_a_text(own.row[spot], key[spot])]
-                of = kind[own.row[spot]]
-                told = [(known_pairs, key, len(known_words)), (known_words, before, len(known_words) + len(known_pairs))] if bigram else [(known_words, key, 0)]
-                for table, by, shift in told:
-                    at, known = _lookup(table, by[spot])
-                    for c in (0, 1):
-                        counts[c] += np.bincount(at[known & (of == c)] + shift, minlength=size)
-                if not bigram:
-                    counts[:, -1] += np.bincount(of, minlength=2)
-        kind, key = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(counts[kind, key])], names=["kind", "key", "n"])
-
-    rows = texts.select("text", "toxic").mapInArrow(run, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((2, size), np.int64)
-    out[rows["kind"].to_numpy(np.int64), rows["key"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    def told(key: np.ndarray, values: np.ndarray, default: float) -> np.ndarray:
+        at, known = _lookup(keys, key)
+        return np.where(known, values[at], default) if len(keys) else np.full(len(key), default)
+
+    ratio = told(pair, ratios, np.nan)
+    ratio = np.where(np.isnan(ratio), told(word, ratios, rare) + told(before, contexts, 0.0), ratio)
+    count = words.per_row()
+    total = np.concatenate(([0.0], np.cumsum(ratio)))
+    begin = np.concatenate(([0], np.cumsum(count)))
+    full = count > 0
+    out[full, 0] = (total[begin[1:]] - total[begin[:-1]])[full] / count[full]
+    stop = np.minimum(np.arange(len(ratio)) + WINDOW, begin[1:][words.row])
+    window = (total[stop] - total[:-1]) / WINDOW
+    out[full, 1] = np.maximum.reduceat(window, begin[:-1][full])
     return out
 
 
+def _with_features(docs: DataFrame, model: tuple[DataFrame, float], keep: list[str], text: str) -> DataFrame:
+    """The columns ``keep`` and the features ``x1`` and ``x2``, by a join of each block's different n-grams to the model's table."""
+    ship(docs.sparkSession)
+    table, rare = model
+    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(own))).first()[0] or 0
+    blocks = int(size // BLOCK_BYTES) + 1
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), own))
+    dealt = docs.select(*keep, own.alias("__text"), F.pmod(key, F.lit(blocks)).cast("int").alias("__block")).repartition(blocks, "__block")
+    place, name = dealt.columns.index("__text"), [f"{f.name}" for f in dealt.schema.fields[:-2]]
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields[:-2]] + ["x1 double", "x2 double"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each block and part of the table: the sorted keys that the block looks for there."""
+        wanted: dict[int, np.ndarray] = {}
+        for batch in batches:
+            number = batch.column(place + 1).to_numpy()
+            for block in np.unique(number).tolist():
+                part = batch.filter(pa.array(number == block))
+                for _, _, _, words in _each_chunk([part], place, COUNT_BYTES):
+                    word, _, pair = _grams(words)
+                    wanted[block] = np.unique(np.concatenate([wanted.get(block, np.full(1, _START)), word, pair]))
+        for block, keys in wanted.items():
+            part = signed(keys) % blocks
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(blocks + 1))
+            parts = [k for k in range(blocks) if cut[k] < cut[k + 1]]
+            packed = [keys[order[cut[k] : cut[k + 1]]].tobytes() for k in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int32()), pa.array(packed, pa.binary())], names=["part", "block", "keys"])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys = known["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, values = keys[order], [known[n].to_numpy()[order] for n in ("ratio", "context")]
+        found: list[list] = [[], [], [], []]
+        for block, sought in zip(asked["block"].to_pylist(), asked["keys"], strict=True):
+            own = np.frombuffer(sought.as_buffer(), np.uint64)
+            at, hit = _lookup(keys, own)
+            for column, x in zip(found, (block, own[hit].tobytes(), *[v[at[hit]].tobytes() if len(keys) else b"" for v in values]), strict=True):
+                column.append(x)
+        return pa.table([pa.array(found[0], pa.int32()), *[pa.array(x, pa.binary()) for x in found[1:]]], names=["block", "keys", "ratio", "context"])
+
+    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
+        keys, *values = [np.frombuffer(b"".join(told[n].to_pylist()), kind) for n, kind in (("keys", np.uint64), ("ratio", np.float32), ("context", np.float32))]
+        order = np.argsort(keys)
+        mine = (keys[order], *[v[order].astype(float) for v in values])
+        made = [np.zeros((0, 2))]
+        for batch in texts.combine_chunks().to_batches():
+            made += [_features(words, mine, rare) for _, _, _, words in _each_chunk([batch], place)]
+        x = np.concatenate(made)
+        return pa.table([*[texts[n] for n in name], pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=[*name, "x1", "x2"])
+
+    asked = dealt.mapInArrow(ask, "part int, block int, keys binary")
+    parts = table.withColumn("part", F.pmod("key", F.lit(blocks)).cast("int"))
+    told = asked.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(answer, "block int, keys binary, ratio binary, context binary")
+    return dealt.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(score, out)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple[DataFrame, float], np.ndarray]:
+    """The model, counted on folds 0 and 1 of the labelled texts, and the weights of its features, calibrated on fold 3."""
+    ship(docs.sparkSession)
+    texts = _labelled(docs, labels)
+    model = _ratios(_counts(texts.where("fold in (0, 1)")))
+    # Calibration: at most CALIBRATION_ROWS texts of the fold that wasn't counted, by hash.
+    tests = texts.where("fold = 3").withColumn("h", F.xxhash64("doc_id"))
+    n_tests = tests.count()
+    if n_tests > CALIBRATION_ROWS:
+        edge = int((CALIBRATION_ROWS / n_tests - 0.5) * 2**64 * 0.98)
+        tests = tests.where(F.col("h") < edge)
+    rows = _with_features(tests, model, ["toxic"], "text").toPandas()
+    y = (rows["toxic"].to_numpy() > 0).astype(float)
+    if 0 < y.sum() < len(y):
+        return model, fit_logistic(np.column_stack([np.ones(len(y)), rows["x1"], rows["x2"]]), y, 1e-4)
+    return model, np.array([-3.0, 1.0, 4.0])  # nothing to calibrate with: a window of twice the likelihood a word is the middle
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50, sample_weight: np.ndarray | None = None) -> np.ndarray:
     """Weights of a logistic regression by Newton's method; the first column is the constant and isn't shrunk."""
     w = np.zeros(x.shape[1])
@@ -214,68 +246,6 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
     return w
 
 
-def _discounted(counts: np.ndarray) -> np.ndarray:
-    return np.maximum(counts - DISCOUNT * np.sqrt(counts), 0)
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Count the models on folds 0 and 1 of the labelled texts and calibrate on fold 3."""
-    ship(docs.sparkSession)
-    texts = _labelled(docs, labels)
-    counted = texts.where("fold in (0, 1)")
-    n_toxic = counted.where("toxic > 0").count()
-    least = max(TOXIC_LEAST, int(np.ceil(TOXIC_SHARE * n_toxic)))
-    grams = _toxic_grams(counted.where("toxic > 0")).where(F.col("n") >= least).toPandas()
-    as_key = lambda s: np.ascontiguousarray(s.to_numpy(np.int64)).view(np.uint64)
-    words = np.sort(as_key(grams.loc[~grams["pair"], "key"]))
-    found = grams[grams["pair"]]
-    pairs, first = as_key(found["key"]), as_key(found["first"])
-    order = np.argsort(pairs)
-    pairs, first = pairs[order], first[order]
-    counts = _class_counts(counted, words, pairs)
-
-    # A pair is in no more texts than its words, so its words are known.
-    n, m = len(words), len(pairs)
-    by_word, by_pair, by_context = counts[:, :n], counts[:, n : n + m], counts[:, n + m : -1]
-    total = np.maximum(counts[:, -1:], 1).astype(float)
-    held = max(1.0, float(counts[:, -1].sum()))
-    shared = by_word.sum(axis=0) / held
-    own = _discounted(by_word) / total
-    left = np.maximum(1 - own.sum(axis=1, keepdims=True), 1e-9)
-    context = _lookup(words, first)[0]
-    pair_p = _discounted(by_pair) / np.maximum(by_context, 1)[:, context] if m else np.zeros((2, 0))
-    spent = np.stack([np.bincount(context, weights=p, minlength=n) for p in pair_p]) if m else np.zeros((2, n))
-    model = Model(words, own + left * shared, np.clip(1 - spent, 1e-6, 1), pairs, pair_p, left[:, 0] / held, np.zeros(3))
-
-    # Calibration: at most CALIBRATION_ROWS texts of the fold that wasn't counted, by hash.
-    tests = texts.where("fold = 3").withColumn("h", F.xxhash64("doc_id"))
-    n_tests = tests.count()
-    if n_tests > CALIBRATION_ROWS:
-        edge = int((CALIBRATION_ROWS / n_tests - 0.5) * 2**64 * 0.98)
-        tests = tests.where(F.col("h") < edge)
-    rows = _with_scores(tests.select("text", "toxic"), docs.sparkSession.sparkContext.broadcast(model), ["toxic"], "text", raw=True).toPandas()
-    y = (rows["toxic"].to_numpy() > 0).astype(float)
-    if 0 < y.sum() < len(y):
-        x = np.column_stack([np.ones(len(y)), rows["x1"], rows["x2"]])
-        model.weights = fit_logistic(x, y, 1e-4)
-    else:  # nothing to calibrate with: a window of twice the likelihood a word is the middle
-        model.weights = np.array([-3.0, 1.0, 4.0])
-    return model
-
-
-def _with_scores(docs: DataFrame, model, keep: list[str], text: str, raw: bool = False) -> DataFrame:
-    narrow = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    names = ["x1", "x2"] if raw else ["score"]
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]] + [f"{n} double" for n in names])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first, last, words in _each_chunk(batches, len(keep)):
-            made = model.value.features(words) if raw else model.value.scores(words)[:, None]
-            yield pa.RecordBatch.from_arrays([c.slice(first, last - first) for c in batch.columns[:-1]] + [pa.array(np.ascontiguousarray(c)) for c in made.T], names=[*keep, *names])
-
-    return narrow.mapInArrow(run, out)
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (score from 0.3) of every document.
 
@@ -285,6 +255,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     of an id the greatest counts; repeated rows stay; an empty table gives an
     empty table; without toxic labels all scores are those of no evidence.
     """
-    model = train(docs, labels)
-    scored = _with_scores(docs.withColumn("__held", fold_of(F.col("doc_id")) == 2), docs.sparkSession.sparkContext.broadcast(model), [*keep, "__held"], "text")
-    return scored.select(*keep, F.col("__held").alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
+    model, weights = train(docs, labels)
+    seen = _with_features(docs.withColumn("__held", fold_of(F.col("doc_id")) == 2), model, [*keep, "__held"], "text")
+    z = F.lit(float(weights[0])) + float(weights[1]) * F.col("x1") + float(weights[2]) * F.col("x2")
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    scored = seen.select(*keep, F.col("__held").alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int"))

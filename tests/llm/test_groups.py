@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -280,6 +281,26 @@ def test_toxicity_edges(spark, odd_docs, no_docs):
     assert toxicity.score_toxicity(no_docs, labels).count() == 0
 
 
+def test_toxicity_keeps_rare_words_of_both_classes(spark):
+    """A floor that grows with the corpus would drop a word of 6 in 7,000 toxic texts, and words of ordinary texts alone."""
+    rows = [(k, f"some words of text number {k % 50}" + (" slur" if k < 6 else " calm" if 7000 <= k < 7900 else ""), int(k < 7000)) for k in range(8000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    table, _ = toxicity._ratios(toxicity._counts(texts))
+    value = {r["key"]: r["ratio"] for r in table.collect()}
+    raw, at = text_buffer(pa.array(["slur calm"]))
+    slur, calm = Words(raw, at, 0, 1, toxicity._FOLD, toxicity._GAP).hash.view(np.int64).tolist()
+    assert value[slur] > 0.5 and value[calm] < -0.5
+
+
+def test_toxicity_does_not_depend_on_blocks(spark, monkeypatch):
+    docs, labels = toxic_corpus(spark, 400)
+    scores = []
+    for size in (1 << 30, 10_000):
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", size)
+        scores.append({r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()})
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][k] - scores[1][k]) < 1e-9 for k in scores[0])
+
+
 # --- packing ---
 
 
