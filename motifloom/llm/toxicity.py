@@ -7,7 +7,8 @@ expression thus says the same for either class. A text's score compares the
 length-normalised log-likelihoods of the whole text and of its most telling
 window, calibrated on labelled texts that the models haven't counted.
 
-Every n-gram of either class is counted; none is dropped for being rare. The
+All labelled rows of folds 0, 1 and 3 are counted, copies too, but for a bounded
+number of texts that calibrate. No n-gram is dropped for being rare. The
 counts are a distributed table of n-grams and their log-likelihood ratios. Texts
 are dealt in blocks, and each block asks that table for its own different
 n-grams by their keys, so nothing that grows with the corpus is sent to every
@@ -30,7 +31,7 @@ from motifloom.llm.textkit import CHUNK_BYTES, Words, chunks, mix, signed, text_
 DISCOUNT = 2.0
 #: Words of the window whose mean is compared besides the whole text's.
 WINDOW = 4
-#: Labelled texts, at most, that calibrate the score.
+#: Different labelled texts, at most, that calibrate the score and aren't counted.
 CALIBRATION_ROWS = 20_000
 #: Labelled rows up to which their ids are sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
@@ -58,16 +59,22 @@ def _grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words.hash, before, mix(before * _PAIR + words.hash)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct labelled texts that may be learnt from: ``doc_id``, ``text``, ``toxic``, ``fold``."""
+def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All labelled texts that may be learnt from, as those that are counted and those that calibrate: ``doc_id``, ``text``, ``toxic``.
+
+    At most CALIBRATION_ROWS different texts, and at most half of those that
+    are found in fold 3 alone, calibrate; all other rows are counted.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("fold", fold_of(F.col("doc_id"))).where("fold != 2")
     known = durable(known, "toxic-labels")
     small = known.count() <= BROADCAST_LABELS
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = own.join(F.broadcast(known) if small else known, "doc_id")
-    firsts = durable(both.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.min_by("fold", "doc_id").alias("fold")).select("doc_id", "toxic", "fold"), "toxic-texts")
-    return own.join(F.broadcast(firsts) if small else firsts, "doc_id")
+    texts = own.join(F.broadcast(known) if small else known, "doc_id").withColumn("h", F.xxhash64("text"))
+    alone = durable(texts.groupBy("h").agg(F.min("fold").alias("least")).where("least = 3").select("h"), "toxic-texts")
+    share = min(0.5, 0.98 * CALIBRATION_ROWS / max(1, alone.count()))
+    chosen = F.broadcast(alone.where(F.col("h") < int((share - 0.5) * 2**64)))
+    return texts.join(chosen, "h", "left_anti").drop("h", "fold"), texts.join(chosen, "h", "left_semi").drop("fold")
 
 
 def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,20 +219,15 @@ def _with_features(docs: DataFrame, model: tuple[DataFrame, float], keep: list[s
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple[DataFrame, float], np.ndarray]:
-    """The model, counted on folds 0 and 1 of the labelled texts, and the weights of its features, calibrated on fold 3."""
+    """The model, counted on all labelled texts of folds 0, 1 and 3 but a bounded part of fold 3, and the weights of its features, calibrated on that."""
     ship(docs.sparkSession)
-    texts = _labelled(docs, labels)
-    model = _ratios(_counts(texts.where("fold in (0, 1)")))
-    # Calibration: at most CALIBRATION_ROWS texts of the fold that wasn't counted, by hash.
-    tests = texts.where("fold = 3").withColumn("h", F.xxhash64("doc_id"))
-    n_tests = tests.count()
-    if n_tests > CALIBRATION_ROWS:
-        edge = int((CALIBRATION_ROWS / n_tests - 0.5) * 2**64 * 0.98)
-        tests = tests.where(F.col("h") < edge)
-    rows = _with_features(tests, model, ["toxic"], "text").toPandas()
-    y = (rows["toxic"].to_numpy() > 0).astype(float)
+    counted, tests = _labelled(docs, labels)
+    model = _ratios(_counts(counted))
+    rows = _with_features(tests, model, ["h", "toxic"], "text")
+    rows = rows.groupBy("h", F.col("toxic") > 0).agg(F.first("x1").alias("x1"), F.first("x2").alias("x2"), F.count("*").alias("n")).toPandas()
+    y = rows.iloc[:, 1].to_numpy().astype(float)
     if 0 < y.sum() < len(y):
-        return model, fit_logistic(np.column_stack([np.ones(len(y)), rows["x1"], rows["x2"]]), y, 1e-4)
+        return model, fit_logistic(np.column_stack([np.ones(len(y)), rows["x1"], rows["x2"]]), y, 1e-4, sample_weight=rows["n"].to_numpy().astype(float))
     return model, np.array([-3.0, 1.0, 4.0])  # nothing to calibrate with: a window of twice the likelihood a word is the middle
 
 

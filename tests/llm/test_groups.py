@@ -301,6 +301,17 @@ def test_toxicity_does_not_depend_on_blocks(spark, monkeypatch):
     assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][k] - scores[1][k]) < 1e-9 for k in scores[0])
 
 
+def test_toxicity_counts_every_fold_and_copy(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 10)
+    rows = [(k, f"text number {k}" if k % 3 else "a copy", int(k % 2)) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    counted, tests = toxicity._labelled(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    fold = lambda k: zlib.crc32(str(k).encode()) % 4
+    ids, used = sorted(r["doc_id"] for r in counted.collect()), sorted(r["doc_id"] for r in tests.collect())
+    assert sorted(ids + used) == [k for k in range(600) if fold(k) != 2]
+    assert 0 < len(used) < 30 and all(fold(k) == 3 for k in used)
+
+
 # --- packing ---
 
 
