@@ -1,11 +1,12 @@
 """Toxicity by class-conditional language models with Kneser-Ney smoothing.
 
-A bigram model is counted for toxic and one for ordinary texts. Both discount
-their counts and back off to lower orders, and at last to one distribution that
-they share, in which a word counts by the different texts that hold it; a rare
-expression thus says the same for either class. A text's score compares the
-length-normalised log-likelihoods of the whole text and of its most telling
-window, calibrated on labelled texts that the models haven't counted.
+A bigram model is counted for toxic and one for ordinary texts. Both lose
+absolute discounts, one each for counts of 1, 2 and more, estimated from the
+counts of counts. What they lose goes to the class's lower order, in which a word
+counts by the different words before it, and from there, discounted likewise, to
+one distribution of such continuation counts that the classes share. A text's
+score compares the length-normalised log-likelihoods of the whole text and of its
+most telling window, calibrated on labelled texts that the models haven't counted.
 
 All labelled rows of folds 0, 1 and 3 are counted, copies too, but for a bounded
 number of texts that calibrate. No n-gram is dropped for being rare. The
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 from motifloom.llm.durable import durable, ship
 from motifloom.llm.textkit import CHUNK_BYTES, Words, chunks, mix, signed, text_buffer
 
-#: Standard errors by which a count is discounted: n loses this times sqrt(n), which its backoff gets.
-DISCOUNT = 2.0
 #: Words of the window whose mean is compared besides the whole text's.
 WINDOW = 4
 #: Different labelled texts, at most, that calibrate the score and aren't counted.
@@ -108,26 +107,44 @@ def _counts(texts: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _discount(n: str) -> Column:
-    return F.least(F.col(n), DISCOUNT * F.sqrt(n))
+def _discounts(having: list[int]) -> tuple[float, float, float]:
+    """Absolute discounts of counts of 1, 2 and more, from how many counts are 1, 2, 3 and 4; within bounds where those are too few to tell."""
+    n1, n2, n3, n4 = (float(n) for n in having)
+    share = n1 / (n1 + 2 * n2) if n1 else 0.5
+    found = [k - (k + 1) * share * more / fewer if fewer and more else k * 0.5 for k, fewer, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    one = min(max(found[0], 0.1), 0.95)
+    two = min(max(found[1], one), 1.9)
+    return one, two, min(max(found[2], two), 2.9)
+
+
+def _lost(n: str, by: tuple[float, float, float]) -> Column:
+    return F.when(F.col(n) <= 0, 0.0).when(F.col(n) == 1, by[0]).when(F.col(n) == 2, by[1]).otherwise(by[2])
+
+
+def _having(table: DataFrame, a: str, b: str) -> list[tuple[float, float, float]]:
+    """The discounts of two columns of counts."""
+    row = table.agg(*[F.count_if(F.col(x) == k) for x in (a, b) for k in (1, 2, 3, 4)]).first()
+    return [_discounts(row[:4]), _discounts(row[4:])]
 
 
 def _ratios(counts: DataFrame) -> tuple[DataFrame, float]:
     """The model: ``key`` of every word and bigram with ``ratio``, its log-likelihood ratio (toxic over ordinary), and what a word as ``context`` adds to that of a word that was never seen after it; and the ratio of an unknown word."""
     pairs = durable(counts, "toxic-pairs")
-    lower = pairs.groupBy(F.col("last").alias("word")).agg(F.sum("n0").alias("k0"), F.sum("n1").alias("k1")).withColumn("k", F.col("k0") + F.col("k1"))
+    # Different words before a word: in either class, and in both together.
+    lower = pairs.groupBy(F.col("last").alias("word")).agg(F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"), F.count("*").alias("k"))
     lower = durable(lower, "toxic-words")
-    row = lower.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("k", "k0", "k1")], *[F.coalesce(F.sum(_discount(f"k{c}")), F.lit(0.0)).alias(f"d{c}") for c in (0, 1)]).first()
+    by_pair, by_word = _having(pairs, "n0", "n1"), _having(lower, "k0", "k1")
+    row = lower.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("k", "k0", "k1")], *[F.coalesce(F.sum(_lost(f"k{c}", by_word[c])), F.lit(0.0)).alias(f"d{c}") for c in (0, 1)]).first()
     left = [row[f"d{c}"] / row[f"k{c}"] if row[f"k{c}"] else 1.0 for c in (0, 1)]
     shared = F.col("k") / max(1, row["k"])
-    own = [(F.col(f"k{c}") - _discount(f"k{c}")) / max(1, row[f"k{c}"]) + left[c] * shared for c in (0, 1)]
+    own = [(F.col(f"k{c}") - _lost(f"k{c}", by_word[c])) / max(1, row[f"k{c}"]) + left[c] * shared for c in (0, 1)]
     lower = lower.select("word", own[0].alias("q0"), own[1].alias("q1"))
-    sums = [x for c in (0, 1) for x in (F.sum(f"n{c}").alias(f"c{c}"), F.sum(_discount(f"n{c}")).alias(f"s{c}"))]
+    sums = [x for c in (0, 1) for x in (F.sum(f"n{c}").alias(f"c{c}"), F.sum(_lost(f"n{c}", by_pair[c])).alias(f"s{c}"))]
     contexts = pairs.groupBy(F.col("first").alias("word")).agg(*sums)
     # A class that hasn't seen a context leaves all to the lower order.
     contexts = contexts.select("word", "c0", "c1", *[F.when(F.col(f"c{c}") > 0, F.col(f"s{c}") / F.col(f"c{c}")).otherwise(F.lit(1.0)).alias(f"g{c}") for c in (0, 1)])
     words = durable(lower.join(contexts, "word", "full"), "toxic-model-words")
-    p = [(F.col(f"n{c}") - _discount(f"n{c}")) / F.greatest(F.col(f"c{c}"), F.lit(1)) + F.col(f"g{c}") * F.col(f"q{c}") for c in (0, 1)]
+    p = [(F.col(f"n{c}") - _lost(f"n{c}", by_pair[c])) / F.greatest(F.col(f"c{c}"), F.lit(1)) + F.col(f"g{c}") * F.col(f"q{c}") for c in (0, 1)]
     after = pairs.join(words.select(F.col("word").alias("last"), "q0", "q1"), "last").join(words.select(F.col("word").alias("first"), "c0", "c1", "g0", "g1"), "first")
     of_pairs = after.select("key", (F.log(p[0]) - F.log(p[1])).cast("float").alias("ratio"), F.lit(0.0).cast("float").alias("context"))
     zero = lambda x: F.coalesce(x, F.lit(0.0)).cast("float")

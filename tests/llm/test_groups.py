@@ -312,6 +312,46 @@ def test_toxicity_counts_every_fold_and_copy(spark, monkeypatch):
     assert 0 < len(used) < 30 and all(fold(k) == 3 for k in used)
 
 
+def test_toxicity_is_kneser_ney(spark):
+    """Ratios against the formula over plain dictionaries; a word of four toxic texts alone is evidence."""
+    rng = random.Random(5)
+    rows = [(" ".join(f"w{int(40 * rng.random() ** 3)}" for _ in range(rng.randrange(1, 30))) + (" slur" if k in (0, 4, 8, 12) else ""), int(k % 4 == 0)) for k in range(200)]
+    counts = [{}, {}]
+    for text, toxic in rows:
+        words = ["", *text.split()]
+        for u, v in itertools.pairwise(words):
+            c = counts[1 - toxic]
+            c[u, v] = c.get((u, v), 0) + 1
+
+    def discounts(numbers):
+        d = toxicity._discounts([sum(n == k for n in numbers) for k in (1, 2, 3, 4)])
+        assert 0 < d[0] < 1 and d[0] <= d[1] < 2 and d[1] <= d[2] < 3
+        return lambda n: d[min(n, 3) - 1] if n else 0
+
+    both = {*counts[0], *counts[1]}
+    shared = lambda v: sum(b == v for _, b in both) / len(both)
+
+    def chance(c, u, v):
+        vocabulary = {b for _, b in both}
+        before = {w: sum(b == w for _, b in counts[c]) for w in vocabulary}
+        d, e = discounts(list(before.values())), discounts(list(counts[c].values()))
+        spent = sum(map(d, before.values())) / len(counts[c])
+        low = (before[v] - d(before[v])) / len(counts[c]) + spent * shared(v)
+        own = [n for (a, _), n in counts[c].items() if a == u]
+        if not own:
+            return low
+        n = counts[c].get((u, v), 0)
+        return (n - e(n)) / sum(own) + sum(map(e, own)) / sum(own) * low
+
+    table, _ = toxicity._ratios(toxicity._counts(spark.createDataFrame(rows, "text string, toxic int")))
+    value = {r["key"]: (r["ratio"], r["context"]) for r in table.collect()}
+    for u, v in [*sorted(x for x in both if x[0])[:60], *[x for x in both if x[1] == "slur"]]:
+        raw, at = text_buffer(pa.array([f"{u} {v}"]))
+        word, _, pair = toxicity._grams(Words(raw, at, 0, 1, toxicity._FOLD, toxicity._GAP))
+        assert value[int(pair.view(np.int64)[1])][0] == pytest.approx(np.log(chance(0, u, v) / chance(1, u, v)), abs=1e-4)
+        assert v != "slur" or value[int(word.view(np.int64)[1])][0] > 1
+
+
 # --- packing ---
 
 
