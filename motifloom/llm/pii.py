@@ -1,8 +1,8 @@
 """Personal data, and the words that give it away.
 
 Only DataFrame functions are used. Base spans (e-mail, IP, card, phone) come
-from patterns. Around each, words are sanitised by how much information they
-carry about it: over the whole corpus, the pointwise mutual information
+from patterns. The words of the documents that hold one are sanitised by how
+much information they carry about it, wherever they stand: over the whole corpus, the pointwise mutual information
 log2(n(t,e) N / (n(t) n(e))) of a word t and an entity e, as a share of the
 entity's own information log2(N / n(e)), is the part of e that t discloses.
 Words above the upper threshold are removed, words above the lower one are
@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 from motifloom.llm.durable import columns, durable, fresh
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that are held against it.
-WINDOW = 4
 #: Shares of an entity's information from which a word is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
-#: Different surroundings in which a word must stand beside an entity before it counts as evidence.
+#: Different texts that must hold a word and an entity before that counts as evidence; of an entity in fewer documents, as many as those.
 SUPPORT = 3
 
 # The same matches as the documented patterns. Quantifiers are possessive where nothing that follows could
@@ -50,8 +48,7 @@ _HOLDS = {
 }
 #: A word between white space, of at least three letters and without closing punctuation.
 _TERM = "(?<!\\\\S)\\\\p{L}{3,}+(?=[.,;:!?]*+(?!\\\\S))"
-_NEAR = f"^(?:\\\\s*+\\\\S++){{0,{WINDOW}}}+"
-_SPAN = "struct<kind:int,start:bigint,end:bigint,value:string,left:string,right:string>"
+_SPAN = "struct<kind:int,start:bigint,end:bigint,value:string>"
 _NONE = f"cast(array() as array<{_SPAN}>)"
 
 
@@ -65,23 +62,20 @@ def _running(a: str) -> str:
     return f"flatten(transform({bases}, (base, b) -> aggregate({block}, {start('base')}, (s, x) -> cast(named_struct('at', s.at + x, 'out', concat(s.out, array(s.at + x))) as {state}), s -> s.out)))"
 
 
-def _spans(kind: str) -> str:
-    """SQL: the valid spans of a kind in ``text``, from the texts of all matches and of what lies between them."""
-    pattern = _PATTERN[kind]
+def _placed(pattern: str) -> str:
+    """SQL: the matches of a pattern in ``text`` with their places, from the texts of all matches and of what lies between them."""
     parts = f"named_struct('hit', regexp_extract_all(text, '{pattern}', 0), 'gap', split(text, '{pattern}', -1))"
     steps = "transform(q.hit, (m, i) -> cast(length(q.gap[i]) + if(i > 0, length(q.hit[i - 1]), 0) as bigint))"
     placed = f"transform(array({steps}), a -> {_running('a')})[0]"
-    near = f"reverse(regexp_extract(reverse(q.gap[i]), '{_NEAR}', 0))"
-    after = f"regexp_extract(q.gap[i + 1], '{_NEAR}', 0)"
-    all_spans = f"transform({placed}, (at, i) -> named_struct('kind', {KINDS.index(kind)}, 'start', at, 'end', at + length(q.hit[i]), 'value', q.hit[i], 'left', {near}, 'right', {after}))"
-    found = f"transform(array({parts}), q -> if(size(q.hit) = 0, {_NONE}, cast({all_spans} as array<{_SPAN}>)))[0]"
-    return f"case when {_MAY[kind]} then filter({found}, x -> {_HOLDS[kind]}) else {_NONE} end"
+    spans = f"transform({placed}, (at, i) -> named_struct('start', at, 'end', at + length(q.hit[i]), 'value', q.hit[i]))"
+    none = "cast(array() as array<struct<start:bigint,end:bigint,value:string>>)"
+    return f"transform(array({parts}), q -> if(size(q.hit) = 0, {none}, {spans}))[0]"
 
 
-def _terms(part: str, base: str) -> str:
-    """SQL: the words of a short text with their places, counted on from ``base``."""
-    steps = f"transform(regexp_extract_all({part}, '{_TERM}', 0), (m, i) -> named_struct('term', lower(m), 'n', length(m), 'skip', length(split({part}, '{_TERM}', -1)[i])))"
-    return f"transform(array({steps}), w -> transform(w, (t, i) -> named_struct('term', t.term, 'start', {base} + t.skip + aggregate(slice(w, 1, i), 0, (s, o) -> s + o.n + o.skip), 'end', {base} + t.skip + t.n + aggregate(slice(w, 1, i), 0, (s, o) -> s + o.n + o.skip))))[0]"
+def _spans(kind: str) -> str:
+    """SQL: the valid spans of a kind in ``text``."""
+    found = f"cast(transform({_placed(_PATTERN[kind])}, x -> named_struct('kind', {KINDS.index(kind)}, 'start', x.start, 'end', x.end, 'value', x.value)) as array<{_SPAN}>)"
+    return f"case when {_MAY[kind]} then filter({found}, x -> {_HOLDS[kind]}) else {_NONE} end"
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -91,38 +85,47 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """Base spans: ``doc_id``, ``row_key`` and ``found``, an array of kind, start, end, value and the words beside it."""
+    """Base spans: ``doc_id``, ``row_key``, ``found``, an array of kind, start, end and value, and, where it has any, ``text``."""
     found = F.expr(f"concat({', '.join(_spans(k) for k in KINDS)})")
-    return _keyed(docs, "doc_id").select("doc_id", "row_key", found.alias("found"))
+    return _keyed(docs, "doc_id").select("doc_id", "row_key", found.alias("found"), "text").withColumn("text", F.when(F.size("found") > 0, F.col("text")))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """Spans of words that disclose an entity beside them: ``row_key``, ``start``, ``end``, ``action``.
+    """Spans of words that disclose an entity of their document: ``row_key``, ``start``, ``end``, ``action``.
 
-    Words within four words of an entity are candidates, so a document gives
-    pairs in proportion to its entities. n(t), n(e) and n(t,e) count documents
-    of the whole corpus; evidence needs ``support`` different surroundings, so
-    copies of one passage are not evidence.
+    All words of a document with an entity are candidates, and every occurrence
+    of a disclosing word there is a span. n(t), n(e) and n(t,e) count documents
+    of the whole corpus. Copies of one text are not evidence: of an entity's
+    documents, ``support`` different texts must hold the word, or as many as
+    the entity has documents if those are fewer.
     """
-    beside = f"concat({_terms('one.left', 'one.start - length(one.left)')}, {_terms('one.right', 'one.end')})"
-    near = found.where(F.size("found") > 0).select("row_key", F.explode("found").alias("one")).select("row_key", F.expr("lower(one.value)").alias("entity"), F.expr("xxhash64(lower(one.left), lower(one.right))").alias("place"), F.expr(beside).alias("terms"))
-    near = durable(near.select("row_key", "entity", "place", F.explode("terms").alias("t")).select("row_key", "entity", "place", "t.*"), "pii-near")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("row_key").alias("n_te"), F.count_distinct("place").alias("places")).where(F.col("places") >= support)
+    n = found.count()
+    holders = found.where(F.size("found") > 0).dropDuplicates(["row_key"])
+    term = F.explode(F.expr(_placed(_TERM))).alias("t")
+    words = durable(holders.select("row_key", F.xxhash64("text").alias("text_key"), term).select("row_key", "text_key", F.xxhash64(F.lower("t.value")).alias("h"), "t.start", "t.end"), "pii-words")
 
     # Documents that have a word, for every word of the corpus, by its hash.
-    words = F.expr(f"transform(array_distinct(regexp_extract_all(lower(text), '{_TERM}', 0)), w -> xxhash64(w))")
-    word_docs = _keyed(docs).select(F.explode(words).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
-    entity_docs = found.select("row_key", F.explode("found").alias("one")).groupBy(F.expr("lower(one.value)").alias("entity")).agg(F.count_distinct("row_key").alias("n_e"))
-    n = F.lit(found.count())
+    every = F.expr(f"transform(array_distinct(regexp_extract_all(lower(text), '{_TERM}', 0)), w -> xxhash64(w))")
+    word_docs = _keyed(docs).select(F.explode(every).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
+    entities = holders.select("row_key", F.explode(F.expr("array_distinct(transform(found, x -> xxhash64(lower(x.value))))")).alias("entity"))
+    entities = durable(entities, "pii-entities")
+    entity_docs = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
+
+    # n(t,e) is at most n(e), so a word of more documents than this is below the lower threshold: such pairs are not made.
+    rarity = F.col("n_t") <= F.col("n_e") * F.pow(F.lit(float(max(n, 1))) / F.col("n_e"), F.lit(1 - min(generalise, remove))) * (1 + 1e-9)
+    held = words.groupBy("row_key", "h").agg(F.min("text_key").alias("text_key")).join(word_docs, "h")
+    pairs = durable(held.join(entities.join(entity_docs, "entity"), "row_key").where(rarity).select("row_key", "text_key", "entity", "h", "n_t", "n_e"), "pii-pairs")
+    judged = pairs.groupBy("entity", "h").agg(F.count("*").alias("n_te"), F.count_distinct("text_key").alias("texts"), F.min("n_t").alias("n_t"), F.min("n_e").alias("n_e"))
+    judged = judged.where(F.col("texts") >= F.least(F.lit(support), F.col("n_e")))
 
     known = F.log2(n / F.col("n_e"))
     told = F.log2(F.col("n_te") * n / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    judged = pairs.join(entity_docs, "entity").withColumn("h", F.xxhash64("term")).join(word_docs, "h")
     part = F.when(F.col("n_e") < n, told / known).otherwise(F.lit(0.0))
     action = F.when(part >= remove, F.lit("remove")).when(part >= generalise, F.lit("generalise"))
-    judged = judged.select("entity", "term", action.alias("action")).where("action is not null")
-    # A word beside two entities is removed if either asks for it.
-    return near.join(judged, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.max("action").alias("action"))
+    judged = judged.select("entity", "h", action.alias("action")).where("action is not null")
+    # A word that tells of two entities is removed if either asks for it.
+    verdicts = pairs.join(judged, ["entity", "h"]).groupBy("row_key", "h").agg(F.max("action").alias("action"))
+    return words.join(verdicts, ["row_key", "h"]).select("row_key", "start", "end", "action")
 
 
 def sanitise(docs: DataFrame, rewrite: bool = True, **thresholds) -> DataFrame:

@@ -176,6 +176,16 @@ def test_rewriting_and_disclosure(spark):
     assert kinds == {"email"}
 
 
+def test_disclosure_of_rare_entities_anywhere_in_a_document(spark):
+    filler = "the usual words of every text stand here between the parts"
+    rows = [(1, f"Ottokar writes from one@mail.example.com {filler} and {filler} says Ottokar, gladly."), (2, f"two@mail.example.com {filler} Wilhelmina"), (3, f"{filler} two@mail.example.com and Wilhelmina again")]
+    rows += [(k, f"{filler} and number says gladly writes from again {k}") for k in range(10, 200)]
+    out = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Ottokar" not in out[1]["text"] and "Wilhelmina" not in out[2]["text"] + out[3]["text"]
+    assert [rows[0][1][s["start"] : s["end"]] for s in out[1]["pii_spans"] if s["kind"] == "remove"] == ["Ottokar", "Ottokar"]
+    assert filler in out[1]["text"] and out[2]["text"].startswith("<EMAIL> " + filler) and out[10]["text"] == rows[3][1]
+
+
 def test_sanitise_keeps_columns(odd_docs):
     out = pii.sanitise(odd_docs)
     assert out.columns == [*odd_docs.columns, "pii_spans"] and out.count() == odd_docs.count()
