@@ -384,6 +384,18 @@ def test_steps_are_balanced():
     assert len(full) > 10 and max(full) < 1.2 * min(full)
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "<|ENDOFTEXT|> 漢字<|endoftext|>é", "don't  stop"])
+def test_added_tokens_of_the_vocabulary(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from motifloom.llm.tokens import encoder
+
+    public = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert own(text).tolist() == public.encode(text, add_special_tokens=False).ids
+
+
 def test_packed_documents(odd_docs, no_docs, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
