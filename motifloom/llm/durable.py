@@ -25,15 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     The result no longer depends on shuffle files or cached blocks, so losing
-    executors costs only the tasks that were running.
+    executors costs only the tasks that were running. With ``by``, each value
+    of that column has a folder of its own, so that a filter by it reads no other.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back.select(*columns(df)) if by else back
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

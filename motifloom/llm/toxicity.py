@@ -1,24 +1,31 @@
 """Toxicity by class-conditional language models with Kneser-Ney smoothing.
 
-A bigram model is counted for toxic and one for ordinary texts. Both lose
+A bigram model is counted for toxic and one for ordinary texts. Counts lose
 absolute discounts, one each for counts of 1, 2 and more, estimated from the
-counts of counts. What they lose goes to the class's lower order, in which a word
-counts by the different words before it, and from there, discounted likewise, to
-one distribution of such continuation counts that the classes share. A text's
-score compares the length-normalised log-likelihoods of the whole text and of its
-most telling window, calibrated on labelled texts that the models haven't counted.
+counts of counts. What a class's bigrams lose goes to the bigrams of both classes
+together, and what those lose to the class's lower order, in which a word counts
+by the different words before it; from there, discounted likewise, to one
+distribution of such continuation counts that the classes share. So a rare
+expression is judged by what both classes have of it, and says little alone.
+
+Three log-likelihood ratios make a text's score: the mean over its words (the
+length-normalised one), the greatest of a word after the word before it, and the
+greatest of a word in the lower order. A logistic curve, fitted on labelled texts
+that the models haven't counted, turns them into a score.
 
 All labelled rows of folds 0, 1 and 3 are counted, copies too, but for a bounded
-number of texts that calibrate. No n-gram is dropped for being rare. The
-counts are a distributed table of n-grams and their log-likelihood ratios. Texts
-are dealt in blocks, and each block asks that table for its own different
-n-grams by their keys, so nothing that grows with the corpus is sent to every
-executor or to the driver.
+number of texts that calibrate. No n-gram is dropped for being rare. The counts
+are a table of n-grams cut into ranges of their keys. Texts are dealt in blocks
+as sequences of word keys, each block asks every range once for the different
+n-grams that it has, and works its scores out from the counts that come back, so
+nothing that grows with the corpus is sent to every executor or to the driver.
+What travels is packed: sorted keys as differences, counts by their bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +33,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.llm.durable import durable, ship
-from motifloom.llm.textkit import CHUNK_BYTES, Words, chunks, mix, signed, text_buffer
+from motifloom.llm.packed import pack, steps, summed, unpack
+from motifloom.llm.textkit import Words, chunks, mix, text_buffer
 
-#: Words of the window whose mean is compared besides the whole text's.
-WINDOW = 4
 #: Different labelled texts, at most, that calibrate the score and aren't counted.
 CALIBRATION_ROWS = 20_000
 #: Labelled rows up to which their ids are sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Bytes of text, about, that are scored as one block, and that are counted before counts are passed on.
-BLOCK_BYTES, COUNT_BYTES = 32 << 20, 8 << 20
+#: Bytes of text, about, for each block of texts and each range of keys.
+BLOCK_BYTES = 32 << 20
+#: Shuffle partitions, at most, that blocks and ranges are dealt to; a partition's blocks and ranges are worked on one by one.
+MOST_PARTITIONS = 32_768
+#: Words, or different n-grams, that a task gathers before it hands them on.
+HELD = 3 << 20
+#: Bits of a key beyond those that number the counted words: a foreign n-gram is taken for a counted one at a chance of 2^-17.
+SPARE_BITS = 17
 PREDICT_FROM = 0.3
 
 _GAP = np.ones(256, bool)
@@ -43,7 +55,11 @@ _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = _GAP[128:] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _PAIR = np.uint64(0x8EBC6AF09C88C6E3)
-_START = np.uint64(0x589965CC75374CC3)
+#: What a word's counts tell: in each class the different words before it, in both together; for each class how many
+#: different words follow it once, twice and more often, and how many follow in all; the first three for both together.
+_OF_WORD = 14
+_FEATURES = ("mean_ratio", "bigram_ratio", "word_ratio")
+_ROW = "block int, kind int, part int, blob binary"
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -51,15 +67,45 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 4
 
 
-def _grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, of the word before it or of a text's start, of the bigram that they make)."""
-    before = np.full(len(words.hash), _START)
-    before[1:] = np.where(words.row[1:] == words.row[:-1], words.hash[:-1], _START)
-    return words.hash, before, mix(before * _PAIR + words.hash)
+@dataclass(frozen=True)
+class Keys:
+    """Names of words and bigrams, ``bits`` of their hashes, and the ``parts`` that their range is cut into."""
+
+    bits: int
+    parts: int
+
+    @staticmethod
+    def of(n_bytes: int) -> Keys:
+        """For a corpus of so many bytes."""
+        return Keys(min(64, int(n_bytes // 4 + 1).bit_length() + SPARE_BITS), int(n_bytes // BLOCK_BYTES) + 1)
+
+    @property
+    def start(self) -> np.uint64:
+        """The word before a text's first."""
+        return np.uint64((1 << self.bits) - 1)
+
+    def short(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.bits)
+
+    def pair(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return self.short(mix(first * _PAIR + last))
+
+    def before(self, word: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """The word before each, given which open a text."""
+        out = np.empty_like(word)
+        out[1:] = word[:-1]
+        out[opens] = self.start
+        return out
+
+    def cuts(self, sorted_keys: np.ndarray) -> list[tuple[int, int, int]]:
+        """(part, from, to) of the parts that have any of the keys."""
+        inner = np.array([-(-(k << self.bits) // self.parts) for k in range(1, self.parts)], np.uint64)
+        at = [0, *np.searchsorted(sorted_keys, inner).tolist(), len(sorted_keys)]
+        return [(k, at[k], at[k + 1]) for k in range(self.parts) if at[k] < at[k + 1]]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All labelled texts that may be learnt from, as those that are counted and those that calibrate: ``doc_id``, ``text``, ``toxic``.
+    """All labelled texts that may be learnt from, as those that are counted and those that calibrate: ``doc_id``, ``text``, ``toxic``; the latter with ``h``, a hash of the text.
 
     At most CALIBRATION_ROWS different texts, and at most half of those that
     are found in fold 3 alone, calibrate; all other rows are counted.
@@ -76,35 +122,131 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]
     return texts.join(chosen, "h", "left_anti").drop("h", "fold"), texts.join(chosen, "h", "left_semi").drop("fold")
 
 
-def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+# --- counting --------------------------------------------------------------
 
 
-def _each_chunk(batches: Iterator[pa.RecordBatch], column: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, int, int, Words]]:
-    for batch in batches:
-        raw, at = text_buffer(batch.column(column))
-        for first, last in chunks(at, limit):
-            yield batch, first, last, Words(raw, at, first, last, _FOLD, _GAP)
+def _same(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.zeros(0, np.int64)
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """``key``, ``first`` and ``last`` word of every bigram, a text's start being a word, and how often each class has it: ``n0`` toxic, ``n1`` ordinary."""
+def _merged(key: np.ndarray, carried: list[np.ndarray], summands: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """One row for each key, in their order, with its first carried values and the sums of the others."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = _same(key)
+    if not len(at):
+        return key, carried, summands
+    return key[at], [c[order][at] for c in carried], [np.add.reduceat(s[order], at) for s in summands]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first, last, words in _each_chunk(batches, 0, COUNT_BYTES):
-            word, before, pair = _grams(words)
-            if not len(word):
-                continue
-            ordinary = np.asarray(batch.column(1).to_numpy(zero_copy_only=False)[first:last] <= 0)[words.row]
-            key, at, of = np.unique(pair, return_index=True, return_inverse=True)
-            n = [np.bincount(of[ordinary == c], minlength=len(key)) for c in (False, True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(key), signed(before[at]), signed(word[at]), *n)], names=["key", "first", "last", "n0", "n1"])
 
-    rows = texts.select("text", "toxic").mapInArrow(run, "key long, first long, last long, n0 long, n1 long")
-    return rows.groupBy("key").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def _count(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordBatch]:
+    """(part, blob) rows: the words of bigrams and how often each class has them, of (text, toxic) rows."""
+    held: list[tuple] = []
+    size = 0
+
+    def merge() -> tuple:
+        key, first, last, n0, n1 = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, (first, last), (n0, n1) = _merged(key, [first, last], [n0, n1])
+        held[:] = [(key, first, last, n0, n1)]
+        return held[0]
+
+    def flush() -> pa.RecordBatch:
+        key, first, last, n0, n1 = merge()
+        held.clear()
+        parts, blobs = [], []
+        for part, a, b in keys.cuts(key):
+            words = np.unique(np.concatenate([first[a:b], last[a:b]]))
+            one, two = (np.searchsorted(words, x[a:b]).astype(np.uint32) for x in (first, last))
+            order = np.lexsort((one, two))
+            parts.append(part)
+            blobs.append(pack([steps(words), steps(one[order]), steps(two[order]), n0[a:b][order], n1[a:b][order]]))
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    for batch in batches:
+        raw, at = text_buffer(batch.column(0))
+        toxic = np.asarray(batch.column(1).to_numpy(zero_copy_only=False)) > 0
+        for first, last in chunks(at):
+            words = Words(raw, at, first, last, _FOLD, _GAP)
+            if not len(words.hash):
+                continue
+            word = keys.short(words.hash)
+            before = keys.before(word, _same(words.row))
+            own = toxic[first:last][words.row]
+            key, (b, w), n = _merged(keys.pair(before, word), [before, word], [own.astype(np.uint32), (~own).astype(np.uint32)])
+            held.append((key, b, w, *n))
+            size += len(key)
+            if size > HELD:
+                size = len(merge()[0])
+                if size > HELD // 2:
+                    yield flush()
+                    size = 0
+    if held:
+        yield flush()
+
+
+def _each_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The blobs of each part; a part's rows follow one another."""
+    now, held = None, []
+    for batch in batches:
+        for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
+            if part != now and held:
+                yield now, held
+                held = []
+            now = part
+            held.append(blob.as_py())
+    if held:
+        yield now, held
+
+
+def _rows(part: list[int], kind: list[int], blob: list[bytes], stats: list[list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary()), pa.array(stats, pa.list_(pa.int64()))], names=["part", "kind", "blob", "stats"])
+
+
+_COUNTED = "part int, kind int, blob binary, stats array<long>"
+
+
+def _having(*counts: np.ndarray) -> list[int]:
+    """Of each array of counts how many are 1, 2, 3 and 4."""
+    return [int((c == k).sum()) for c in counts for k in (1, 2, 3, 4)]
+
+
+def _merge_pairs(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordBatch]:
+    """Kind -1: a part's bigrams with the counts of both classes. Kind 0: by parts of words, what they tell of words."""
+    for part, blobs in _each_part(batches):
+        held = []
+        for blob in blobs:
+            (words, one, two, n0, n1), _ = unpack(blob)
+            words = summed(words)
+            first, last = words[summed(one)], words[summed(two)]
+            held.append((keys.pair(first, last), first, last, n0.astype(np.uint64), n1.astype(np.uint64)))
+        key, first, last, n0, n1 = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        key, (first, last), n = _merged(key, [first, last], [n0, n1])
+        yield _rows([part], [-1], [pack([steps(key), *n])], [_having(*n, n[0] + n[1])])
+        words = np.unique(np.concatenate([first, last]))
+        one, two = np.searchsorted(words, first), np.searchsorted(words, last)
+        each = lambda at, weights=None: np.bincount(at, weights=weights, minlength=len(words)).astype(np.uint64)
+        told = [each(two[n[0] > 0]), each(two[n[1] > 0]), each(two)]
+        for c in n:
+            told += [each(one[c == 1]), each(one[c == 2]), each(one[c > 2]), each(one, c.astype(float))]
+        told += [each(one[sum(n) == 1]), each(one[sum(n) == 2]), each(one[sum(n) > 2])]
+        for of, a, b in keys.cuts(words):
+            yield _rows([of], [0], [pack([steps(words[a:b]), *[x[a:b] for x in told]])], [[]])
+
+
+def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's words with all their counts, and what the discounts of the lower order need."""
+    for part, blobs in _each_part(batches):
+        held = []
+        for blob in blobs:
+            (words, *told), _ = unpack(blob)
+            held.append((summed(words), *told))
+        key, *told = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, _, told = _merged(key, [], told)
+        k0, k1, k = told[:3]
+        many = [int((c > 2).sum()) for c in (k0, k1)]
+        yield _rows([part], [0], [pack([steps(key), *told])], [[*_having(k0, k1), *many, int(k0.sum()), int(k1.sum()), int(k.sum())]])
 
 
 def _discounts(having: list[int]) -> tuple[float, float, float]:
@@ -117,135 +259,251 @@ def _discounts(having: list[int]) -> tuple[float, float, float]:
     return one, two, min(max(found[2], two), 2.9)
 
 
-def _lost(n: str, by: tuple[float, float, float]) -> Column:
-    return F.when(F.col(n) <= 0, 0.0).when(F.col(n) == 1, by[0]).when(F.col(n) == 2, by[1]).otherwise(by[2])
-
-
-def _having(table: DataFrame, a: str, b: str) -> list[tuple[float, float, float]]:
-    """The discounts of two columns of counts."""
-    row = table.agg(*[F.count_if(F.col(x) == k) for x in (a, b) for k in (1, 2, 3, 4)]).first()
-    return [_discounts(row[:4]), _discounts(row[4:])]
-
-
-def _ratios(counts: DataFrame) -> tuple[DataFrame, float]:
-    """The model: ``key`` of every word and bigram with ``ratio``, its log-likelihood ratio (toxic over ordinary), and what a word as ``context`` adds to that of a word that was never seen after it; and the ratio of an unknown word."""
-    pairs = durable(counts, "toxic-pairs")
-    # Different words before a word: in either class, and in both together.
-    lower = pairs.groupBy(F.col("last").alias("word")).agg(F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"), F.count("*").alias("k"))
-    lower = durable(lower, "toxic-words")
-    by_pair, by_word = _having(pairs, "n0", "n1"), _having(lower, "k0", "k1")
-    row = lower.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("k", "k0", "k1")], *[F.coalesce(F.sum(_lost(f"k{c}", by_word[c])), F.lit(0.0)).alias(f"d{c}") for c in (0, 1)]).first()
-    left = [row[f"d{c}"] / row[f"k{c}"] if row[f"k{c}"] else 1.0 for c in (0, 1)]
-    shared = F.col("k") / max(1, row["k"])
-    own = [(F.col(f"k{c}") - _lost(f"k{c}", by_word[c])) / max(1, row[f"k{c}"]) + left[c] * shared for c in (0, 1)]
-    lower = lower.select("word", own[0].alias("q0"), own[1].alias("q1"))
-    sums = [x for c in (0, 1) for x in (F.sum(f"n{c}").alias(f"c{c}"), F.sum(_lost(f"n{c}", by_pair[c])).alias(f"s{c}"))]
-    contexts = pairs.groupBy(F.col("first").alias("word")).agg(*sums)
-    # A class that hasn't seen a context leaves all to the lower order.
-    contexts = contexts.select("word", "c0", "c1", *[F.when(F.col(f"c{c}") > 0, F.col(f"s{c}") / F.col(f"c{c}")).otherwise(F.lit(1.0)).alias(f"g{c}") for c in (0, 1)])
-    words = durable(lower.join(contexts, "word", "full"), "toxic-model-words")
-    p = [(F.col(f"n{c}") - _lost(f"n{c}", by_pair[c])) / F.greatest(F.col(f"c{c}"), F.lit(1)) + F.col(f"g{c}") * F.col(f"q{c}") for c in (0, 1)]
-    after = pairs.join(words.select(F.col("word").alias("last"), "q0", "q1"), "last").join(words.select(F.col("word").alias("first"), "c0", "c1", "g0", "g1"), "first")
-    of_pairs = after.select("key", (F.log(p[0]) - F.log(p[1])).cast("float").alias("ratio"), F.lit(0.0).cast("float").alias("context"))
-    zero = lambda x: F.coalesce(x, F.lit(0.0)).cast("float")
-    of_words = words.select(F.col("word").alias("key"), zero(F.log("q0") - F.log("q1")).alias("ratio"), zero(F.log("g0") - F.log("g1")).alias("context"))
-    return durable(of_pairs.unionByName(of_words), "toxic-model"), float(np.log(left[0]) - np.log(left[1]))
-
-
-def _features(words: Words, table: tuple[np.ndarray, np.ndarray, np.ndarray], rare: float) -> np.ndarray:
-    """rows x 2: mean ratio of each text, and the greatest mean of its windows (of shorter texts: the mean over a window's length)."""
-    out = np.zeros((words.rows, 2))
-    keys, ratios, contexts = table
-    word, before, pair = _grams(words)
-    if not len(word):
-        return out
+@dataclass
+class Model:
+    """Counts of bigrams (``pairs``) and words by parts, and the discounts and totals that turn them into chances."""
+
+    keys: Keys
+    pairs: DataFrame  # part, blob: keys, counts of both classes
+    words: DataFrame  # part, blob: keys, _OF_WORD counts
+    of_pairs: list[tuple[float, float, float]]  # toxic, ordinary, both together
+    of_words: list[tuple[float, float, float]]
+    total: list[int]  # of continuation counts: toxic, ordinary, both together
+    left: list[float]  # share of the lower order that each class leaves to the shared one
+
+    def ratios(self) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """log P(toxic) - log P(ordinary) of bigrams, and of their last words in the lower order, from the bigrams' counts (2 x n) and those of their last and first words (_OF_WORD x n)."""
+        of_pairs, of_words, total, left = self.of_pairs, self.of_words, self.total, self.left
+
+        def lost(n: np.ndarray, by: tuple[float, float, float]) -> np.ndarray:
+            return np.array([0.0, *by])[np.minimum(n, 3).astype(np.int64)]
+
+        def given(counts: np.ndarray, all_: np.ndarray, by: tuple[float, float, float]) -> np.ndarray:
+            """Share that a context leaves to the next order: all, if it was never seen."""
+            return np.where(all_ > 0, (by[0] * counts[0] + by[1] * counts[1] + by[2] * counts[2]) / np.maximum(all_, 1), 1.0)
+
+        def run(n: np.ndarray, last: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            # A word that neither class has counts as one that follows one word in both together.
+            shared = np.maximum(last[2].astype(float), 1) / max(1, total[2])
+            both, of_both = n[0] + n[1], (first[6] + first[10]).astype(float)
+            pooled, rest = (both - lost(both, of_pairs[2])) / np.maximum(of_both, 1), given(first[11:], of_both, of_pairs[2])
+            chance, low = [], []
+            for c in (0, 1):
+                all_ = first[6 + 4 * c].astype(float)
+                low.append((last[c] - lost(last[c], of_words[c])) / max(1, total[c]) + left[c] * shared)
+                chance.append((n[c] - lost(n[c], of_pairs[c])) / np.maximum(all_, 1) + given(first[3 + 4 * c :], all_, of_pairs[c]) * (pooled + rest * low[c]))
+            return np.log(chance[0] / chance[1]), np.log(low[0] / low[1])
+
+        return run
+
+
+def count_model(texts: DataFrame, keys: Keys) -> Model:
+    """The model of ``texts`` (``text``, ``toxic``)."""
+    ship(texts.sparkSession)
+    tasks = min(keys.parts, MOST_PARTITIONS)
+    dealt = lambda df: df.repartition(tasks, "part").sortWithinPartitions("part")
+    counted = texts.select("text", "toxic").mapInArrow(lambda x: _count(x, keys), "part int, blob binary")
+    merged = durable(dealt(counted).mapInArrow(lambda x: _merge_pairs(x, keys), _COUNTED), "toxic-pairs", by="kind")
+    words = durable(dealt(merged.where("kind = 0").select("part", "blob")).mapInArrow(_merge_words, _COUNTED), "toxic-words")
+    # One row of sums for each part, added up by Spark.
+    added = lambda df, n: [int(x or 0) for x in df.agg(*[F.sum(F.get("stats", F.lit(k))) for k in range(n)]).first()]
+    pairs = merged.where("kind = -1")
+    having, lower = added(pairs, 12), added(words, 13)
+    of_words = [_discounts(lower[:4]), _discounts(lower[4:8])]
+    total = lower[10:]
+    spent = [of_words[c][0] * lower[4 * c] + of_words[c][1] * lower[4 * c + 1] + of_words[c][2] * lower[8 + c] for c in (0, 1)]
+    left = [spent[c] / total[c] if total[c] else 1.0 for c in (0, 1)]
+    return Model(keys, pairs.select("part", "blob"), words.select("part", "blob"), [_discounts(having[k : k + 4]) for k in (0, 4, 8)], of_words, total, left)
+
+
+# --- scoring ---------------------------------------------------------------
+
+
+def _deal(batches: Iterator[pa.RecordBatch], keys: Keys, keep: int) -> Iterator[pa.RecordBatch]:
+    """Texts as word keys: rows of kind 1 by block, each with a dictionary, a sequence of its entries, the texts' lengths in words and the first ``keep`` columns."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    beside: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        word, count, block = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows = pa.Table.from_batches(beside)
+        held.clear()
+        beside.clear()
+        begin = np.concatenate(([0], np.cumsum(count)))
+        order = np.argsort(block, kind="stable")
+        edge = [*_same(block[order]).tolist(), len(order)]
+        blocks, blobs = [], []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            own = order[a:b]
+            n = count[own]
+            place = np.arange(int(n.sum())) + np.repeat(begin[own] - (np.cumsum(n) - n), n)
+            entries, at, often = np.unique(word[place], return_inverse=True, return_counts=True)
+            by = np.lexsort((entries, -often))  # frequent words get small numbers
+            number = np.empty(len(by), np.uint32)
+            number[by] = np.arange(len(by), dtype=np.uint32)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.take(pa.array(own)))
+            blocks.append(int(block[own[0]]))
+            blobs.append(pack([steps(entries[by]), number[at], n.astype(np.uint32)], sink.getvalue().to_pybytes()))
+        m = len(blocks)
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([1] * m, pa.int32()), pa.array([0] * m, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "kind", "part", "blob"])
 
-    def told(key: np.ndarray, values: np.ndarray, default: float) -> np.ndarray:
-        at, known = _lookup(keys, key)
-        return np.where(known, values[at], default) if len(keys) else np.full(len(key), default)
+    for batch in batches:
+        raw, at = text_buffer(batch.column(keep))
+        block = batch.column(keep + 1).to_numpy()
+        for first, last in chunks(at):
+            words = Words(raw, at, first, last, _FOLD, _GAP)
+            held.append((keys.short(words.hash), words.per_row(), block[first:last]))
+            beside.append(batch.slice(first, last - first).select(list(range(keep))))
+            size += len(words.hash) + last - first
+            if size > HELD:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
+class _Texts:
+    """What a dealt blob holds."""
+
+    def __init__(self, blob: bytes, keys: Keys):
+        (entries, number, count), self.beside = unpack(blob)
+        self.entries = summed(entries)
+        self.word = self.entries[number]
+        self.count = count.astype(np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(self.count)))
+        self.before = keys.before(self.word, self.begin[:-1][self.count > 0])
+        self.pair = keys.pair(self.before, self.word)
+
+
+def _asked(blobs: list[bytes], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """The different bigrams and words of a block, sorted."""
+    pairs, words = [np.zeros(0, np.uint64)], [np.full(1, keys.start)]
+    for blob in blobs:
+        texts = _Texts(blob, keys)
+        pairs.append(np.unique(texts.pair))
+        words.append(texts.entries)
+    return np.unique(np.concatenate(pairs)), np.unique(np.concatenate(words))
+
+
+def _ask(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 1 by part: the bigrams and words that a block looks for there."""
+    for block, blobs in _each_block(batches):
+        pairs, words = _asked(blobs, keys)
+        of = [{k: x[a:b] for k, a, b in keys.cuts(x)} for x in (pairs, words)]
+        parts = sorted({*of[0], *of[1]})
+        none = np.zeros(0, np.uint64)
+        told = [pack([steps(x.get(k, none)) for x in of]) for k in parts]
+        m = len(parts)
+        yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int32()), pa.array([1] * m, pa.int32()), pa.array(parts, pa.int32()), pa.array(told, pa.binary())], names=["block", "kind", "part", "blob"])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 0 by block: the counts of what it asked a part for, in its order. A part's table comes before what it is asked."""
+    empty = lambda n: (np.zeros(0, np.uint64), [np.zeros(0, np.uint64)] * n)
+    now, pairs, words = None, empty(2), empty(_OF_WORD)
+
+    def found(table: tuple[np.ndarray, list[np.ndarray]], sought: np.ndarray) -> list[np.ndarray]:
+        known, counts = table
+        if not len(known):
+            return [np.zeros(len(sought), np.uint64)] * len(counts)
+        at = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+        hit = known[at] == sought
+        return [np.where(hit, c[at], np.uint64(0)) for c in counts]
 
-    ratio = told(pair, ratios, np.nan)
-    ratio = np.where(np.isnan(ratio), told(word, ratios, rare) + told(before, contexts, 0.0), ratio)
-    count = words.per_row()
-    total = np.concatenate(([0.0], np.cumsum(ratio)))
+    for batch in batches:
+        for block, kind, part, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "part")), batch.column("blob"), strict=True):
+            if part != now:
+                now, pairs, words = part, empty(2), empty(_OF_WORD)
+            arrays, _ = unpack(blob.as_py())
+            if kind < 1:
+                told = summed(arrays[0]), arrays[1:]
+                pairs, words = (told, words) if kind < 0 else (pairs, told)
+                continue
+            out = pack([*found(pairs, summed(arrays[0])), *found(words, summed(arrays[1]))])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([part], pa.int32()), pa.array([out], pa.binary())], names=["block", "kind", "part", "blob"])
+
+
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The dealt texts of each block; a block's rows follow one another."""
+    now, held = None, []
+    for batch in batches:
+        for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob"), strict=True):
+            if block != now and held:
+                yield now, held
+                held = []
+            now = block
+            held.append(blob.as_py())
+    if held:
+        yield now, held
+
+
+def _features(bigram: np.ndarray, word: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """_FEATURES of texts of ``count`` words from the ratios of their words; 0 without words."""
     begin = np.concatenate(([0], np.cumsum(count)))
+    total = np.concatenate(([0.0], np.cumsum(bigram)))
     full = count > 0
-    out[full, 0] = (total[begin[1:]] - total[begin[:-1]])[full] / count[full]
-    stop = np.minimum(np.arange(len(ratio)) + WINDOW, begin[1:][words.row])
-    window = (total[stop] - total[:-1]) / WINDOW
-    out[full, 1] = np.maximum.reduceat(window, begin[:-1][full])
+    out = [np.zeros(len(count)) for _ in _FEATURES]
+    if full.any():
+        out[0][full] = (total[begin[1:]] - total[begin[:-1]])[full] / count[full]
+        out[1][full], out[2][full] = (np.maximum.reduceat(x, begin[:-1][full]) for x in (bigram, word))
     return out
 
 
-def _with_features(docs: DataFrame, model: tuple[DataFrame, float], keep: list[str], text: str) -> DataFrame:
-    """The columns ``keep`` and the features ``x1`` and ``x2``, by a join of each block's different n-grams to the model's table."""
+def _score(dealt: pa.Table, answers: pa.Table, keys: Keys, ratios: Callable) -> pa.Table:
+    """The kept columns and the features of a block's texts, from the counts that it was told."""
+    blobs = dealt["blob"].to_pylist()
+    pairs, words = _asked(blobs, keys)
+    told = [unpack(a)[0] for a in answers.sort_by("part")["blob"].to_pylist()]
+    counts = [np.concatenate(x) for x in zip(*told, strict=True)]
+    of_pairs, of_words = np.stack(counts[:2]), np.stack(counts[2:])
+    out = []
+    for blob in blobs:
+        texts = _Texts(blob, keys)
+        x = [np.zeros(len(texts.count))] * len(_FEATURES)
+        if len(texts.word):
+            each, at = np.unique(texts.pair, return_index=True)
+            last, first = (np.searchsorted(words, w[at]) for w in (texts.word, texts.before))
+            told = ratios(of_pairs[:, np.searchsorted(pairs, each)], of_words[:, last], of_words[:, first])
+            place = np.searchsorted(each, texts.pair)
+            x = _features(told[0][place], told[1][place], texts.count)
+        begin = 0
+        for batch in pa.ipc.open_stream(texts.beside):
+            end = begin + batch.num_rows
+            out.append(pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(f[begin:end]) for f in x]], names=[*batch.schema.names, *_FEATURES]))
+            begin = end
+    return pa.Table.from_batches(out)
+
+
+def text_features(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
+    """The columns ``keep``, by place as ``c0``, ``c1`` ..., and _FEATURES of each row's text."""
     ship(docs.sparkSession)
-    table, rare = model
-    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    size = docs.agg(F.sum(F.octet_length(own))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) + 1
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), own))
-    dealt = docs.select(*keep, own.alias("__text"), F.pmod(key, F.lit(blocks)).cast("int").alias("__block")).repartition(blocks, "__block")
-    place, name = dealt.columns.index("__text"), [f"{f.name}" for f in dealt.schema.fields[:-2]]
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields[:-2]] + ["x1 double", "x2 double"])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each block and part of the table: the sorted keys that the block looks for there."""
-        wanted: dict[int, np.ndarray] = {}
-        for batch in batches:
-            number = batch.column(place + 1).to_numpy()
-            for block in np.unique(number).tolist():
-                part = batch.filter(pa.array(number == block))
-                for _, _, _, words in _each_chunk([part], place, COUNT_BYTES):
-                    word, _, pair = _grams(words)
-                    wanted[block] = np.unique(np.concatenate([wanted.get(block, np.full(1, _START)), word, pair]))
-        for block, keys in wanted.items():
-            part = signed(keys) % blocks
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(blocks + 1))
-            parts = [k for k in range(blocks) if cut[k] < cut[k + 1]]
-            packed = [keys[order[cut[k] : cut[k + 1]]].tobytes() for k in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int32()), pa.array(packed, pa.binary())], names=["part", "block", "keys"])
-
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys = known["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, values = keys[order], [known[n].to_numpy()[order] for n in ("ratio", "context")]
-        found: list[list] = [[], [], [], []]
-        for block, sought in zip(asked["block"].to_pylist(), asked["keys"], strict=True):
-            own = np.frombuffer(sought.as_buffer(), np.uint64)
-            at, hit = _lookup(keys, own)
-            for column, x in zip(found, (block, own[hit].tobytes(), *[v[at[hit]].tobytes() if len(keys) else b"" for v in values]), strict=True):
-                column.append(x)
-        return pa.table([pa.array(found[0], pa.int32()), *[pa.array(x, pa.binary()) for x in found[1:]]], names=["block", "keys", "ratio", "context"])
-
-    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
-        keys, *values = [np.frombuffer(b"".join(told[n].to_pylist()), kind) for n, kind in (("keys", np.uint64), ("ratio", np.float32), ("context", np.float32))]
-        order = np.argsort(keys)
-        mine = (keys[order], *[v[order].astype(float) for v in values])
-        made = [np.zeros((0, 2))]
-        for batch in texts.combine_chunks().to_batches():
-            made += [_features(words, mine, rare) for _, _, _, words in _each_chunk([batch], place)]
-        x = np.concatenate(made)
-        return pa.table([*[texts[n] for n in name], pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=[*name, "x1", "x2"])
-
-    asked = dealt.mapInArrow(ask, "part int, block int, keys binary")
-    parts = table.withColumn("part", F.pmod("key", F.lit(blocks)).cast("int"))
-    told = asked.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(answer, "block int, keys binary, ratio binary, context binary")
-    return dealt.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(score, out)
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple[DataFrame, float], np.ndarray]:
-    """The model, counted on all labelled texts of folds 0, 1 and 3 but a bounded part of fold 3, and the weights of its features, calibrated on that."""
-    ship(docs.sparkSession)
-    counted, tests = _labelled(docs, labels)
-    model = _ratios(_counts(counted))
-    rows = _with_features(tests, model, ["h", "toxic"], "text")
-    rows = rows.groupBy("h", F.col("toxic") > 0).agg(F.first("x1").alias("x1"), F.first("x2").alias("x2"), F.count("*").alias("n")).toPandas()
-    y = rows.iloc[:, 1].to_numpy().astype(float)
+    keys, ratios, n = model.keys, model.ratios(), len(keep)
+    own = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    block = F.pmod(F.xxhash64("doc_id", own), F.lit(keys.parts)).cast("int")
+    names = [f"c{k}" for k in range(len(keep))]
+    narrow = docs.select(*[c.alias(n) for c, n in zip(keep, names, strict=True)], own.alias("text"), block.alias("block"))
+    tasks = min(keys.parts, MOST_PARTITIONS)
+    dealt = narrow.mapInArrow(lambda x: _deal(x, keys, n), _ROW).repartition(tasks, "block")
+    asked = dealt.sortWithinPartitions("block").mapInArrow(lambda x: _ask(x, keys), _ROW)
+    table = lambda df, kind: df.select(F.lit(None).cast("int").alias("block"), F.lit(kind).alias("kind"), "part", "blob")
+    tables = table(model.pairs, -1).unionByName(table(model.words, 0)).unionByName(asked)
+    told = tables.repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(_answer, _ROW).repartition(tasks, "block")
+    out = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[:n]] + [f"{x} double" for x in _FEATURES])
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, keys, ratios), out)
+
+
+def calibrate(seen: DataFrame, tests: DataFrame) -> np.ndarray:
+    """Weights (constant first) of _FEATURES of texts of hash ``h``, from the labels of ``tests``, at most CALIBRATION_ROWS texts."""
+    marks = durable(tests.groupBy("h", (F.col("toxic") > 0).alias("y")).agg(F.count("*").alias("n")), "toxic-tests")
+    each = seen.join(F.broadcast(marks.select("h").distinct()), "h", "left_semi").groupBy("h").agg(*[F.first(x).alias(x) for x in _FEATURES])
+    rows = each.join(F.broadcast(marks), "h").select("y", "n", *_FEATURES).toPandas()
+    y = rows["y"].to_numpy().astype(float)
     if 0 < y.sum() < len(y):
-        return model, fit_logistic(np.column_stack([np.ones(len(y)), rows["x1"], rows["x2"]]), y, 1e-4, sample_weight=rows["n"].to_numpy().astype(float))
-    return model, np.array([-3.0, 1.0, 4.0])  # nothing to calibrate with: a window of twice the likelihood a word is the middle
+        return fit_logistic(np.column_stack([np.ones(len(y)), rows[list(_FEATURES)]]), y, 1e-4, sample_weight=rows["n"].to_numpy().astype(float))
+    return np.array([-8.0, 1.0, 0.5, 3.0])  # nothing to calibrate with: a word of about ten times the likelihood is the middle
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50, sample_weight: np.ndarray | None = None) -> np.ndarray:
@@ -271,12 +529,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     Learnt only from labelled rows of folds other than 2. Scores use texts
     alone. Null, empty and wordless texts score as a text with no evidence;
     labels without a value or a document are not used, and of several labels
-    of an id the greatest counts; repeated rows stay; an empty table gives an
-    empty table; without toxic labels all scores are those of no evidence.
+    of an id the greatest counts, for every text of that id; repeated rows
+    stay; an empty table gives an empty table; without toxic labels all scores
+    are those of no evidence. Kept columns may have any name but those that
+    are added. A text is worked on whole, in one task: about 60 bytes of
+    memory a byte of the longest text.
     """
-    model, weights = train(docs, labels)
-    seen = _with_features(docs.withColumn("__held", fold_of(F.col("doc_id")) == 2), model, [*keep, "__held"], "text")
-    z = F.lit(float(weights[0])) + float(weights[1]) * F.col("x1") + float(weights[2]) * F.col("x2")
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    keys = Keys.of(size)
+    counted, tests = _labelled(docs, labels)
+    model = count_model(counted, keys)
+    own = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    made = text_features(docs, model, [*[F.col(c) for c in keep], fold_of(F.col("doc_id")) == 2, F.xxhash64(own)])
+    n = len(keep)
+    made = durable(made, "toxic-features").withColumnsRenamed({f"c{n}": "held", f"c{n + 1}": "h"})
+    weights = calibrate(made.select("h", *_FEATURES), tests)
+    z = F.lit(float(weights[0]))
+    for w, x in zip(weights[1:], _FEATURES, strict=True):
+        z = z + float(w) * F.col(x)
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    scored = seen.select(*keep, F.col("__held").alias("held_out"), score.alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int"))
+    return made.select(*[F.col(f"c{k}").alias(c.strip("`")) for k, c in enumerate(keep)], F.col("held").alias("held_out"), score.alias("score"), (score >= PREDICT_FROM).cast("int").alias("predicted"))

@@ -281,15 +281,19 @@ def test_toxicity_edges(spark, odd_docs, no_docs):
     assert toxicity.score_toxicity(no_docs, labels).count() == 0
 
 
+def toxic_features(spark, rows, texts, parts=3):
+    """The features of ``texts`` by a model of ``rows`` (text, toxic)."""
+    keys = toxicity.Keys(44, parts)
+    model = toxicity.count_model(spark.createDataFrame(rows, "text string, toxic int"), keys)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["c0"]: r for r in toxicity.text_features(docs, model, [docs.doc_id]).collect()}
+
+
 def test_toxicity_keeps_rare_words_of_both_classes(spark):
     """A floor that grows with the corpus would drop a word of 6 in 7,000 toxic texts, and words of ordinary texts alone."""
-    rows = [(k, f"some words of text number {k % 50}" + (" slur" if k < 6 else " calm" if 7000 <= k < 7900 else ""), int(k < 7000)) for k in range(8000)]
-    texts = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    table, _ = toxicity._ratios(toxicity._counts(texts))
-    value = {r["key"]: r["ratio"] for r in table.collect()}
-    raw, at = text_buffer(pa.array(["slur calm"]))
-    slur, calm = Words(raw, at, 0, 1, toxicity._FOLD, toxicity._GAP).hash.view(np.int64).tolist()
-    assert value[slur] > 0.5 and value[calm] < -0.5
+    rows = [(f"some words of text number {k % 50}" + (f" slur of{k}" if k < 6 else f" calm of{k}" if 7000 <= k < 7900 else ""), int(k < 7000)) for k in range(8000)]
+    told = toxic_features(spark, rows, ["slur", "calm"])
+    assert told[0]["word_ratio"] > 0.3 and told[0]["bigram_ratio"] > 0.3 and told[1]["word_ratio"] < -0.3
 
 
 def test_toxicity_does_not_depend_on_blocks(spark, monkeypatch):
@@ -313,43 +317,65 @@ def test_toxicity_counts_every_fold_and_copy(spark, monkeypatch):
 
 
 def test_toxicity_is_kneser_ney(spark):
-    """Ratios against the formula over plain dictionaries; a word of four toxic texts alone is evidence."""
+    """Features against the formula over plain dictionaries; a word of four toxic texts alone is evidence."""
     rng = random.Random(5)
     rows = [(" ".join(f"w{int(40 * rng.random() ** 3)}" for _ in range(rng.randrange(1, 30))) + (" slur" if k in (0, 4, 8, 12) else ""), int(k % 4 == 0)) for k in range(200)]
     counts = [{}, {}]
     for text, toxic in rows:
-        words = ["", *text.split()]
-        for u, v in itertools.pairwise(words):
+        for u, v in itertools.pairwise(["", *text.split()]):
             c = counts[1 - toxic]
             c[u, v] = c.get((u, v), 0) + 1
+    pooled = {k: counts[0].get(k, 0) + counts[1].get(k, 0) for k in {*counts[0], *counts[1]}}
 
     def discounts(numbers):
         d = toxicity._discounts([sum(n == k for n in numbers) for k in (1, 2, 3, 4)])
         assert 0 < d[0] < 1 and d[0] <= d[1] < 2 and d[1] <= d[2] < 3
         return lambda n: d[min(n, 3) - 1] if n else 0
 
-    both = {*counts[0], *counts[1]}
-    shared = lambda v: sum(b == v for _, b in both) / len(both)
+    def order(table, u, v, below):
+        """Discounted share of (u, v) among what follows u, and what that leaves to the order below."""
+        d, own = discounts(list(table.values())), [n for (a, _), n in table.items() if a == u]
+        n = table.get((u, v), 0)
+        return (n - d(n)) / sum(own) + sum(map(d, own)) / sum(own) * below if own else below
 
-    def chance(c, u, v):
-        vocabulary = {b for _, b in both}
+    def low(c, v):
+        vocabulary = {b for _, b in pooled}
         before = {w: sum(b == w for _, b in counts[c]) for w in vocabulary}
-        d, e = discounts(list(before.values())), discounts(list(counts[c].values()))
+        d = discounts(list(before.values()))
         spent = sum(map(d, before.values())) / len(counts[c])
-        low = (before[v] - d(before[v])) / len(counts[c]) + spent * shared(v)
-        own = [n for (a, _), n in counts[c].items() if a == u]
-        if not own:
-            return low
-        n = counts[c].get((u, v), 0)
-        return (n - e(n)) / sum(own) + sum(map(e, own)) / sum(own) * low
-
-    table, _ = toxicity._ratios(toxicity._counts(spark.createDataFrame(rows, "text string, toxic int")))
-    value = {r["key"]: (r["ratio"], r["context"]) for r in table.collect()}
-    for u, v in [*sorted(x for x in both if x[0])[:60], *[x for x in both if x[1] == "slur"]]:
-        raw, at = text_buffer(pa.array([f"{u} {v}"]))
-        word, _, pair = toxicity._grams(Words(raw, at, 0, 1, toxicity._FOLD, toxicity._GAP))
-        assert value[int(pair.view(np.int64)[1])][0] == pytest.approx(np.log(chance(0, u, v) / chance(1, u, v)), abs=1e-4)
-        assert v != "slur" or value[int(word.view(np.int64)[1])][0] > 1
+        return (before[v] - d(before[v])) / len(counts[c]) + spent * sum(b == v for _, b in pooled) / len(pooled)
+
+    def ratio(u, v):
+        one, two = (order(counts[c], u, v, order(pooled, u, v, low(c, v))) for c in (0, 1))
+        return np.log(one / two)
+
+    pairs = [*sorted(x for x in pooled if x[0])[:40], *[x for x in pooled if x[1] == "slur"]]
+    for k, r in toxic_features(spark, rows, [f"{u} {v}" for u, v in pairs]).items():
+        (u, v) = pairs[k]
+        both = [ratio("", u), ratio(u, v)]
+        assert r["mean_ratio"] == pytest.approx(np.mean(both), abs=1e-6) and r["bigram_ratio"] == pytest.approx(max(both), abs=1e-6)
+        assert r["word_ratio"] == pytest.approx(max(np.log(low(0, w) / low(1, w)) for w in (u, v)), abs=1e-6)
+        assert v != "slur" or r["word_ratio"] > 1
+
+
+def test_toxicity_on_the_table(spark, data, docs):
+    """Held-out texts of the test table that hold a word of insult, and those that are labelled clean."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    rows = toxicity.score_toxicity(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    insults = {"idiot", "scum", "moron", "trash", "loser", "worthless", "pathetic", "disgusting"}
+    clean = [r["predicted"] for r in rows if not r["toxic"]]
+    plain = [r["predicted"] for r in rows if r["toxic"] and insults & set(r["text"].lower().replace(".", " ").replace(",", " ").split())]
+    assert np.mean(clean) <= 0.1 and (not plain or np.mean(plain) >= 0.6)
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50), st.binary(max_size=9))
+@settings(max_examples=40, deadline=None)
+def test_packed_arrays(values, rest):
+    from motifloom.llm.packed import pack, steps, summed, unpack
+
+    a = np.array(sorted(values), np.uint64)
+    (b, c), told = unpack(pack([steps(a), a.astype(np.uint32)], rest))
+    assert summed(b).tolist() == a.tolist() and c.tolist() == a.astype(np.uint32).tolist() and told == rest
 
 
 # --- packing ---
@@ -401,7 +427,6 @@ def test_packed_documents(odd_docs, no_docs, docs):
     from tokenizers import Tokenizer
 
     public = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    public.encode_special_tokens = True
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     both = odd_docs.where("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"]).union(docs.select((docs.doc_id + 1000).alias("doc_id"), "text"))
     texts = {r["doc_id"]: r["text"] for r in both.collect()}
