@@ -1,4 +1,11 @@
-"""Counts after a batch of edge changes, from the changes alone."""
+"""Counts after a batch of edge changes, from the changes alone.
+
+A match is made or broken by a batch only if one of its pairs of vertices
+changes: a pattern edge whose image is added or removed, or, vertex-induced, a
+pair without a pattern edge. With the pattern's pairs in a fixed order, a match
+is found at its first changed pair, so each search starts from the batch. Only
+the part of the graph that such matches can reach is looked at.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +15,8 @@ from pyspark.sql import functions as F
 from motifloom.operators.graph import Graph
 from motifloom.operators.match import join_stages
 from motifloom.plans.pattern import Pattern
-from motifloom.plans.planner import MatchPlan, make_plan
+from motifloom.plans.planner import INDUCED, MatchPlan, make_plan
+from motifloom.sources.scratch import written
 
 
 def _both(batch: DataFrame) -> DataFrame:
@@ -22,47 +30,86 @@ def effective(graph: Graph, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return removed, added
 
 
-def _through(pattern: Pattern, before: DataFrame, change: DataFrame, after: DataFrame) -> DataFrame:
-    """Matches in ``after`` with an edge of ``change``, one row each as columns u0, u1 ...
+def _reach(pattern: Pattern, pairs: list[tuple[int, int]]) -> int:
+    """The most steps along pattern edges from either end of one of ``pairs`` to any vertex."""
+    most = 0
+    for pair in pairs:
+        seen, edge, steps = set(pair), set(pair), 0
+        while len(seen) < pattern.n:
+            edge = {b for a in edge for b in pattern.neighbours(a)} - seen
+            seen |= edge
+            steps += 1
+        most = max(most, steps)
+    return most
+
+
+def _around(edges: DataFrame, ends: DataFrame, steps: int) -> DataFrame:
+    """The edges between vertices that are at most so many steps from ``ends`` (``id``)."""
+    ball = ends
+    for _ in range(steps):
+        near = edges.join(ball.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
+        ball = ball.union(near).distinct()
+    inside = ball.select(F.col("id").alias("src"))
+    return edges.join(inside, "src", "left_semi").join(inside.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
 
-    With the pattern's edges in a fixed order, a match is found at its first
-    changed edge: earlier ones come from ``before`` (the graph without the
-    change), later ones from ``after``. Each search starts from the change.
+
+def _through(pattern: Pattern, induced: str, graph: Graph, turned: dict[bool, DataFrame], steady: DataFrame) -> DataFrame:
+    """Matches in ``graph`` with a changed pair, one row each as columns u0, u1 ...
+
+    ``turned``: by whether the pair is an edge now, the pairs that changed;
+    ``steady``: the edges that didn't. Pairs before the first changed one are
+    unchanged, later ones are as they are now.
     """
-    edges = sorted(pattern.edges)
-    kept = make_plan(pattern).restrictions
-    order0 = make_plan(pattern).order
-    pairs = tuple((order0[a], order0[b]) for a, b in kept)
+    pairs = sorted(pattern.edges)
+    if induced == "vertex":
+        pairs += [(a, b) for b in range(pattern.n) for a in range(b) if not pattern.has(a, b)]
+    base = make_plan(pattern, induced)
+    held = tuple((base.order[a], base.order[b]) for a, b in base.restrictions)
+    either = graph.edges.union(turned[False])
     found = None
-    for at, (a, b) in enumerate(edges):
+    for at, (a, b) in enumerate(pairs):
         order = [a, b]
         while len(order) < pattern.n:
             rest = [v for v in range(pattern.n) if v not in order]
             order.append(max(rest, key=lambda v: (sum(pattern.has(v, o) for o in order), pattern.degree(v), -v)))
         place = {v: k for k, v in enumerate(order)}
-        plan = MatchPlan(pattern, tuple(order), pattern.ordered(order), tuple((place[x], place[y]) for x, y in pairs), "edge")
+        plan = MatchPlan(pattern, tuple(order), pattern.ordered(order), tuple((place[x], place[y]) for x, y in held), induced)
+        rank = lambda j, k, order=order: pairs.index(tuple(sorted((order[j], order[k]))))
+
+        def relation(j: int, k: int, rank=rank, at=at) -> DataFrame:
+            if rank(j, k) == at:
+                return turned[pattern.has(*pairs[at])]
+            return steady if rank(j, k) < at else graph.edges
 
-        def relation(j: int, k: int, order=order, at=at) -> DataFrame:
-            x, y = sorted((order[j], order[k]))
-            rank = edges.index((x, y))
-            return change if rank == at else before if rank < at else after
+        def absent(j: int, k: int, rank=rank, at=at) -> DataFrame:
+            """What an unchanged, or any, pair without an edge is not in."""
+            return either if rank(j, k) < at else graph.edges
 
-        rows = join_stages(Graph(after), plan, relation).select(*[F.col(f"v{place[u]}").alias(f"u{u}") for u in range(pattern.n)])
+        rows = join_stages(graph, plan, relation, absent).select(*[F.col(f"v{place[u]}").alias(f"u{u}") for u in range(pattern.n)])
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
-def delta_matches(graph: Graph, batch: DataFrame, pattern: Pattern) -> DataFrame:
-    """Edge-induced matches that a batch of ``sources.changes`` makes or breaks: u0, u1 ... and ``sign`` (1 or -1)."""
-    removed, added = effective(graph, batch)
-    kept = graph.edges.join(removed, ["src", "dst"], "left_anti")
-    lost = _through(pattern, kept, removed, graph.edges).withColumn("sign", F.lit(-1))
-    new = _through(pattern, kept, added, kept.union(added)).withColumn("sign", F.lit(1))
+def delta_matches(graph: Graph, batch: DataFrame, pattern: Pattern, induced: str = "edge") -> DataFrame:
+    """Matches that a batch of ``sources.changes`` makes or breaks: u0, u1 ... and ``sign`` (1 or -1). Labels are those of ``graph``."""
+    if induced not in INDUCED:
+        raise ValueError(f"induced is one of {INDUCED}")
+    # The batch's effect and the edges around it are written once; every search reads these small tables.
+    removed, added = (written(x, "delta") for x in effective(graph, batch))
+    pairs = [(a, b) for b in range(pattern.n) for a in range(b)] if induced == "vertex" else sorted(pattern.edges)
+    turned = removed.union(added)
+    touched = turned.select(F.col("src").alias("id")).distinct()
+    # Matches before and after reach no further than along edges that are there before or after.
+    around = _around(graph.edges.union(added), touched, _reach(pattern, pairs))
+    steady = written(around.join(turned, ["src", "dst"], "left_anti"), "delta")
+    before, after = Graph(steady.union(removed), graph.labels), Graph(steady.union(added), graph.labels)
+    lost = _through(pattern, induced, before, {True: removed, False: added}, steady).withColumn("sign", F.lit(-1))
+    new = _through(pattern, induced, after, {True: added, False: removed}, steady).withColumn("sign", F.lit(1))
     return lost.unionByName(new)
 
 
-def delta_count(graph: Graph, batch: DataFrame, pattern: Pattern) -> DataFrame:
-    """One row: ``removed``, ``added`` and ``change`` of the edge-induced count."""
+def delta_count(graph: Graph, batch: DataFrame, pattern: Pattern, induced: str = "edge") -> DataFrame:
+    """One row: ``removed``, ``added`` and ``change`` of the count."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     sign = F.col("sign")
-    return delta_matches(graph, batch, pattern).agg(total(F.when(sign < 0, 1).otherwise(0)).alias("removed"), total(F.when(sign > 0, 1).otherwise(0)).alias("added"), total(sign).alias("change"))
+    return delta_matches(graph, batch, pattern, induced).agg(total(F.when(sign < 0, 1).otherwise(0)).alias("removed"), total(F.when(sign > 0, 1).otherwise(0)).alias("added"), total(sign).alias("change"))

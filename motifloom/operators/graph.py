@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from motifloom.functions import sets
 from motifloom.plans.planner import GraphStats
 from motifloom.sources import edges as sources
+from motifloom.sources.scratch import shared_dir
 
 
 def global_rank(df: DataFrame, by: list[Column]) -> DataFrame:
@@ -21,14 +21,24 @@ def global_rank(df: DataFrame, by: list[Column]) -> DataFrame:
     partitioned rows are checkpointed, as range bounds are sampled anew on
     every evaluation.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # a cluster names its shared folder in spark.checkpoint.dir; tests may not
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="motifloom-"))
-    ranged = df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()).checkpoint()
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    inner = ranged.withColumn("__rn", F.row_number().over(Window.partitionBy("__part").orderBy(*by)))
-    return inner.join(F.broadcast(offsets), "__part").select(*df.columns, (F.col("__base") + F.col("__rn") - 1).alias("rank"))
+    shared_dir(df.sparkSession)
+    part, n, base, place = _fresh(df, "part", "n", "base", "place")
+    ranged = df.repartitionByRange(*by).withColumn(part, F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy(part).agg(F.count("*").alias(n))
+    offsets = counts.select(part, F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(base))
+    inner = ranged.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(*by)))
+    return inner.join(F.broadcast(offsets), part).select(*df.columns, (F.col(base) + F.col(place) - 1).alias("rank"))
+
+
+def _fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` hasn't."""
+    taken = {c.lower() for c in df.columns} | {"rank"}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 class Graph:
@@ -69,6 +79,14 @@ class Graph:
             edges = edges.join(self.labels.select(F.col("id").alias("src"), F.col("label").alias("src_label")), "src")
         edges.repartition("src").sortWithinPartitions("src", "dst").write.mode("overwrite").parquet(f"{path}/edges")
 
+    def vertex_table(self) -> DataFrame:
+        """``id``, ``degree``, ``lower_degree`` and ``triangles`` of each vertex."""
+        return self.adj().select("id", "degree", "lower_degree").join(self.triangles_by_vertex(), "id")
+
+    def save_vertices(self, path: str) -> None:
+        """``vertex_table`` as Parquet, sorted by id inside files."""
+        self.vertex_table().repartition("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/vertices")
+
     def save_bucketed(self, table: str, buckets: int) -> None:
         """The adjacency as a table bucketed by id: later matches join it without shuffling it."""
         self.adj().write.mode("overwrite").bucketBy(buckets, "id").sortBy("id").saveAsTable(table)
@@ -131,7 +149,7 @@ class Graph:
 
     def stats_frame(self) -> DataFrame:
         """One row: vertices, edges (both directions), triangles (once), greatest degree, lower degree and triangles of a vertex."""
-        d = self.adj().select("id", "degree", "lower_degree").join(self.triangles_by_vertex(), "id")
+        d = self.vertex_table()
         total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
         most = lambda x: F.coalesce(F.max(x), F.lit(0)).cast("long")
         return d.agg(F.count("*").alias("vertices"), total("degree").alias("edges"), F.floor(total("triangles") / 3).cast("long").alias("triangles"), most("degree").alias("max_degree"), most("lower_degree").alias("max_lower_degree"), most("triangles").alias("max_triangles"))

@@ -30,9 +30,15 @@ def _checks(plan: MatchPlan, k: int) -> list[Column]:
 # --- rows ------------------------------------------------------------------
 
 
-def join_stages(graph: Graph, plan: MatchPlan, relation: Callable[[int, int], DataFrame] | None = None) -> DataFrame:
-    """All matches of ``plan`` as columns v0, v1 ...; ``relation(a, b)`` gives the edges that pattern edge a, b must come from."""
+def join_stages(graph: Graph, plan: MatchPlan, relation: Callable[[int, int], DataFrame] | None = None, absent: Callable[[int, int], DataFrame] | None = None) -> DataFrame:
+    """All matches of ``plan`` as columns v0, v1 ...
+
+    ``relation(a, b)`` gives the pairs that vertices a and b must come from: the
+    edges for a pattern edge, and for vertices 0 and 1 always; ``absent(a, b)``
+    the pairs that they must not be, vertex-induced, without a pattern edge.
+    """
     relation = relation or (lambda a, b: graph.edges)
+    absent = absent or (lambda a, b: graph.edges)
     labels = _label_table(graph, plan.pattern)
     first = relation(0, 1).select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
     rows = _filtered(first, _checks(plan, 1))
@@ -47,7 +53,7 @@ def join_stages(graph: Graph, plan: MatchPlan, relation: Callable[[int, int], Da
             rows = rows.join(relation(j, k).select(F.col("src").alias(f"v{j}"), F.col("dst").alias(f"v{k}")), [f"v{j}", f"v{k}"], "left_semi")
         if plan.induced == "vertex":
             for j in plan.apart(k):
-                rows = rows.join(graph.edges.select(F.col("src").alias(f"v{j}"), F.col("dst").alias(f"v{k}")), [f"v{j}", f"v{k}"], "left_anti")
+                rows = rows.join(absent(j, k).select(F.col("src").alias(f"v{j}"), F.col("dst").alias(f"v{k}")), [f"v{j}", f"v{k}"], "left_anti")
     return rows.select(*[f"v{k}" for k in range(plan.pattern.n)])
 
 
@@ -80,10 +86,15 @@ class _Arrays:
     def __init__(self, graph: Graph, plan: MatchPlan, pruning: str, stats: GraphStats | None):
         if pruning not in PRUNING:
             raise ValueError(f"pruning is one of {PRUNING}")
-        if pruning == "cost":
-            pruning = "eager" if stats is None or _worth_pruning(plan, stats) else "none"
         self.plan, self.pattern = plan, plan.pattern
-        self.ahead = {"none": 0, "static": 1, "online": self.pattern.n, "eager": self.pattern.n}[pruning]
+        n = self.pattern.n
+        self.ahead = {"none": 0, "static": 1}.get(pruning, n)
+        self.at_once = pruning == "eager"
+        # Later vertices whose candidates are worth narrowing ahead of their turn.
+        self.narrowed = set(range(n))
+        if pruning == "cost":
+            stats = stats or graph.stats()
+            self.narrowed = {t for t in range(n) if worth_narrowing(plan, t, stats)}
         self.labelled = _label_table(graph, self.pattern) is not None
         if self.labelled:
             self.adj = graph.labelled_adj().select("id", "label", F.col("by_label").alias("nbrs"))
@@ -156,9 +167,9 @@ class _Arrays:
         out = {}
         for t in range(known, min(self.pattern.n, known + self.ahead)):
             told = [j for j in self.plan.earlier(t) if held.get(t, 0) <= j < known]
-            if told:
-                if t not in held and len(told) == 1 and self.plan.induced == "edge":
-                    continue  # it would be a copy of a neighbour list that is carried already
+            if told and t in self.narrowed:
+                if t not in held and len(told) == 1 and not self.at_once:
+                    continue  # made when it is first read: so far it would be a neighbour list that is carried already
                 cand = self.candidates(t, known, held)
                 out[f"c{t}"] = cand
                 held[t] = known
@@ -202,34 +213,47 @@ class _Arrays:
         return rows.withColumn(f"v{k}", F.explode(self.bounded(k, self.candidates(k, k, held), k))).select(*[f"v{i}" for i in range(k + 1)])
 
 
-def _worth_pruning(plan: MatchPlan, stats: GraphStats) -> bool:
-    """Whether carried candidates save more comparisons than building them takes, from mean degrees and how often they are read."""
+def worth_narrowing(plan: MatchPlan, t: int, stats: GraphStats) -> bool:
+    """Whether candidates of vertex t that are carried save more comparisons than narrowing them takes.
+
+    A narrowed set is read at every match of the vertices between the second
+    that tells of it and t; each reading compares what is kept of a neighbour
+    list instead of all of it. Hubs (a degree of four times the mean) always pay.
+    """
     v, e = max(stats.vertices, 2), max(stats.edges, 1)
     degree = e / v
-    kept = degree * min(1.0, 6.0 * stats.triangles * v / e / e) if stats.triangles else degree * degree / v
     if stats.max_degree >= 4 * degree:
         return True
-    reads = sum(max(0, len(plan.earlier(k)) - 1) for k in range(2, plan.pattern.n))
+    kept = degree * min(1.0, 6.0 * stats.triangles * v / e / e) if stats.triangles else degree * degree / v
+    told = plan.earlier(t)
+    if len(told) < 2:
+        return False
+    reads = 1.0
+    for k in range(told[1] + 1, t):
+        reads *= max(1.0, degree if len(plan.earlier(k)) < 2 else kept) / 2 ** len(plan.above(k) + plan.below(k))
     return reads * (degree - kept) - degree - kept > 0
 
 
 # --- entry points ----------------------------------------------------------
 
 
-def match(graph: Graph, pattern: Pattern, induced: str = "edge", mode: str = "count", iep: bool = False, executor: str = "array", pruning: str = "online", stats: GraphStats | None = None, order: tuple[int, ...] | None = None, restrictions: tuple[tuple[int, int], ...] | None = None, limit: int | None = None) -> DataFrame:
+def match(graph: Graph, pattern: Pattern, induced: str = "edge", mode: str = "count", iep: bool = False, executor: str = "array", pruning: str = "online", stats: GraphStats | None = None, order: tuple[int, ...] | None = None, restrictions: tuple[tuple[int, int], ...] | None = None, limit: int | None = None, model: str = "triangles", all_sets: bool = False) -> DataFrame:
     """Find every match of ``pattern`` once.
 
     ``mode`` count: one row, ``n``. ``mode`` enumerate: one row for each match,
     u0, u1 ... being the ids of the pattern's vertices; ``limit`` keeps any so
     many of them. ``induced``: 'edge' (pattern edges must be there) or
     'vertex' (and no others). ``pruning`` says how far ahead candidate sets
-    are narrowed and carried: 'none', 'static' (the next vertex), 'online' and
-    'eager' (all) or 'cost' (all, if ``stats`` make it worth while); results
-    don't depend on it, nor on ``executor``, ``order`` and ``restrictions``.
+    are narrowed and carried: 'none', 'static' (the next vertex), 'eager' (all,
+    as soon as one vertex tells of them), 'online' (all, from when two do) or
+    'cost' (those for which ``stats``, worked out if not given, make it worth
+    while). With ``stats``, orders are compared under the cost ``model``, and
+    with ``all_sets`` all restriction sets too. Results don't depend on any of
+    these, nor on ``executor``, ``order`` and ``restrictions``.
     """
     if executor not in EXECUTORS or mode not in ("count", "enumerate"):
         raise ValueError("executor is array or join, mode is count or enumerate")
-    plan = make_plan(pattern, induced, iep, stats, order=order, pairs=restrictions)
+    plan = make_plan(pattern, induced, iep, stats, model, order=order, pairs=restrictions, all_sets=all_sets)
     return run_plan(graph, plan, mode, executor, pruning, stats, limit)
 
 

@@ -11,6 +11,7 @@ from motifloom.operators.graph import Graph
 from motifloom.operators.match import run_plan
 from motifloom.plans.planner import MatchPlan
 
+# Deviations above the mean at which degrees are cut.
 FACTORS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 5.0, 10.0)
 
 

@@ -14,6 +14,8 @@ from motifloom.plans.pattern import Pattern
 GRAPH_Q = """s AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS u, b.l_partkey AS v FROM lineitem a JOIN lineitem b
   ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_quantity >= 40 AND b.l_quantity >= 40)"""
 GRAPH_R = GRAPH_Q.replace("l_quantity >= 40", "l_returnflag = 'R'")
+#: The graph of all lines.
+GRAPH_ALL = GRAPH_Q.replace(" WHERE a.l_quantity >= 40 AND b.l_quantity >= 40", "")
 LABELS = "lab AS MATERIALIZED (SELECT p_partkey AS id, p_size % 3 AS label FROM part)"
 
 

@@ -24,14 +24,14 @@ WORKLOAD = {
 
 # Named shapes as (vertices, edges).
 SHAPES = {
-    "triangle": (3, "01 02 12"),
-    "rectangle": (4, "01 02 13 23"),
-    "diamond": (4, "01 02 03 12 13"),
-    "pentagon": (5, "01 02 13 24 34"),
-    "house": (5, "01 02 03 13 14 24"),
-    "hourglass": (6, "01 02 04 12 15 23 34 35 45"),
-    "cycle_6_tri": (6, "01 02 12 13 14 23 25 04 05"),
-    "clique_7_minus": (7, "01 02 12 03 13 23 04 14 24 34 05 15 25 35 45 06 16 26 36 46"),
+    "triangle": (3, [(0, 1), (0, 2), (1, 2)]),
+    "rectangle": (4, [(0, 1), (0, 2), (1, 3), (2, 3)]),
+    "diamond": (4, [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]),
+    "pentagon": (5, [(0, 1), (0, 2), (1, 3), (2, 4), (3, 4)]),
+    "house": (5, [(0, 1), (0, 2), (0, 3), (1, 3), (1, 4), (2, 4)]),
+    "hourglass": (6, [(0, 1), (0, 2), (0, 4), (1, 2), (1, 5), (2, 3), (3, 4), (3, 5), (4, 5)]),
+    "cycle_6_tri": (6, [(0, 1), (0, 2), (1, 2), (1, 3), (1, 4), (2, 3), (2, 5), (0, 4), (0, 5)]),
+    "clique_7_minus": (7, [(0, 1), (0, 2), (1, 2), (0, 3), (1, 3), (2, 3), (0, 4), (1, 4), (2, 4), (3, 4), (0, 5), (1, 5), (2, 5), (3, 5), (4, 5), (0, 6), (1, 6), (2, 6), (3, 6), (4, 6)]),
 }
 ALIASES = {"qg3": "diamond", "prism": "hourglass"}
 
@@ -82,7 +82,7 @@ class Pattern:
             return Pattern.from_matrix(WORKLOAD[name])
         if name in SHAPES:
             n, edges = SHAPES[name]
-            return Pattern.of(n, [(int(e[0]), int(e[1])) for e in edges.split()])
+            return Pattern.of(n, edges)
         if name.startswith("clique") and name[6:].isdigit():
             return Pattern.clique(int(name[6:]))
         raise ValueError(f"no pattern is called {name}")

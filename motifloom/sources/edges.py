@@ -33,12 +33,15 @@ def read_snap_checked(spark: SparkSession, path: str) -> DataFrame:
     if told is None:
         raise ValueError("no line tells the numbers of nodes and edges")
     edges = read_snap(spark, path, "FAILFAST")
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
-    lines, pairs, nodes = edges.count(), edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().count(), ends.distinct().count()
-    if lines != pairs:
-        raise ValueError(f"{lines - pairs} edges are repeated")
-    if (nodes, lines) != (int(told["v"]), int(told["e"])):
-        raise ValueError(f"{nodes} nodes and {lines} edges, but the header tells {told['v']} and {told['e']}")
+    # One pass over the file: an edge counts under its pair, a node under itself.
+    pair = F.struct(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    node = lambda c: F.struct(F.col(c).alias("a"), F.lit(None).cast("long").alias("b"))
+    seen = edges.select(F.explode(F.array(pair, node("src"), node("dst"))).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
+    got = seen.agg(F.count_if(F.col("b").isNull()).alias("v"), F.count_if(F.col("b").isNotNull()).alias("e"), F.coalesce(F.sum(F.when(F.col("b").isNotNull(), F.col("n"))), F.lit(0)).alias("lines")).first()
+    if got["lines"] != got["e"]:
+        raise ValueError(f"{got['lines'] - got['e']} edges are repeated")
+    if (got["v"], got["e"]) != (int(told["v"]), int(told["e"])):
+        raise ValueError(f"{got['v']} nodes and {got['e']} edges, but the header tells {told['v']} and {told['e']}")
     return edges
 
 
@@ -74,9 +77,15 @@ def same_order_edges(lineitem: DataFrame, condition: str) -> DataFrame:
     return symmetric(parts.select(F.explode("p").alias("src"), "p").select("src", F.explode("p").alias("dst")).where("src < dst"))
 
 
+def hash_mod(n: int, *ids: str) -> Column:
+    """0..n-1 from a digest of ids, the same wherever it is worked out."""
+    digits = F.substring(F.md5(F.concat_ws(",", *ids)), 1, 12)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(n)).cast("int")
+
+
 def random_labels(vertices: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``id`` and ``label``, one of 0..n-1 by a hash, so reruns agree."""
-    return vertices.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int").alias("label"))
+    return vertices.withColumn("seed", F.lit(seed)).select("id", hash_mod(n, "seed", "id").alias("label"))
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
@@ -99,14 +108,19 @@ def change_of(batch: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def split_for_updates(edges: DataFrame, every: int = 5) -> dict[str, DataFrame]:
     """Start, removed and added edges for an update run: by a hash, one of ``every`` starts and is removed, another one is added."""
-    half = edges.where("src < dst").withColumn("h", F.pmod(F.xxhash64("src", "dst"), F.lit(every)))
+    half = edges.where("src < dst").withColumn("h", hash_mod(every, "src", "dst"))
     return {"start": half.where("h != 1").select("src", "dst"), "del": half.where("h = 0").select("src", "dst"), "add": half.where("h = 1").select("src", "dst")}
 
 
 def split_batches(edges: DataFrame, percent: int, batches: int) -> DataFrame:
     """Each undirected edge with its ``batch``: 0 for about ``percent`` of them, which are the start, else 1 to ``batches``."""
-    h = F.pmod(F.xxhash64("src", "dst", F.lit(61)), F.lit(100))
-    return edges.where("src < dst").select("src", "dst", F.when(h < percent, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("dst", "src"), F.lit(batches))).cast("int").alias("batch"))
+    return edges.where("src < dst").select("src", "dst", F.when(hash_mod(100, "src", "dst") < percent, F.lit(0)).otherwise(1 + hash_mod(batches, "dst", "src")).cast("int").alias("batch"))
+
+
+def write_changes(batch: DataFrame, path: str) -> None:
+    """A batch of ``src``, ``dst``, ``add`` as ``read_changes`` reads it."""
+    batch.agg(F.count("*").cast("string").alias("value")).write.text(path)
+    batch.select(F.concat_ws(" ", "src", "dst", F.col("add").cast("int")).alias("value")).write.mode("append").text(path)
 
 
 def read_meta(spark: SparkSession, path: str) -> dict[str, int]:

@@ -9,9 +9,9 @@ import pytest
 from motifloom import Graph, Pattern, count, enumerate_matches
 from motifloom.operators.delta import delta_count
 from motifloom.operators.graph import global_rank
-from motifloom.operators.match import count_all, motif_census
+from motifloom.operators.match import count_all, motif_census, worth_narrowing
 from motifloom.operators.profile import timed, work_by
-from motifloom.plans.planner import make_plan, unrestricted
+from motifloom.plans.planner import GraphStats, make_plan, unrestricted
 from motifloom.plans.symmetry import automorphisms
 from motifloom.queries import graph as query_graph
 from motifloom.sources import edges as sources
@@ -52,8 +52,21 @@ def test_executors_and_pruning_agree(q, name):
     p = Pattern.named(name)
     assert count(q, p, executor="join") == GOLD[name][0]
     assert count(q, p, executor="join", induced="vertex") == GOLD[name][1]
-    for pruning in ("none", "static", "eager", "cost"):
-        assert count(q, p, pruning=pruning, induced="vertex") == GOLD[name][1]
+    hubs = GraphStats(1000, 20_000, 5_000, 900)
+    for pruning, stats in (("none", None), ("static", None), ("eager", None), ("online", None), ("cost", None), ("cost", hubs)):
+        assert count(q, p, pruning=pruning, induced="vertex", stats=stats) == GOLD[name][1]
+
+
+def test_narrowing_pays_by_vertex(q):
+    """The cost rule decides apart for each vertex, and its plans differ."""
+    plan = make_plan(Pattern.named("p6"))
+    sparse, dense, hubs = GraphStats(20_000, 120_000, 17_000, 23), GraphStats(2000, 230_000, 410_000, 206), GraphStats(1000, 20_000, 5_000, 900)
+    pays = [{t for t in range(plan.pattern.n) if worth_narrowing(plan, t, s)} for s in (sparse, dense, hubs)]
+    assert pays[0] < pays[2] == set(range(plan.pattern.n)) and pays[0] <= pays[1]
+    from motifloom.operators.match import run_plan
+
+    text = lambda **o: run_plan(q, plan, **o)._jdf.queryExecution().optimizedPlan().toString().count("array_intersect")
+    assert text(pruning="eager") >= text(pruning="online") and text(pruning="cost", stats=sparse) != text(pruning="cost", stats=hubs)
 
 
 def test_cost_based_plan_and_unrestricted(q):
@@ -148,15 +161,35 @@ def test_global_rank_is_gapless(spark):
     assert [r["rank"] for r in ranks.orderBy("id").collect()] == list(range(1000))
 
 
-@pytest.mark.parametrize("name", ["triangle", "rectangle", "p3"])
-def test_delta(spark, name):
+@pytest.mark.parametrize(("name", "induced", "labels"), [("triangle", "edge", None), ("rectangle", "edge", None), ("p3", "edge", None), ("triangle", "vertex", None), ("rectangle", "vertex", None), ("diamond", "vertex", None), ("triangle", "edge", (0, 1, None)), ("rectangle", "vertex", (0, None, 1, None))])
+def test_delta(spark, name, induced, labels):
     rng = random.Random(4)
     pairs = [(a, b) for a in range(10) for b in range(a) if rng.random() < 0.5]
-    g = Graph.from_edges(edges_of(spark, pairs))
+    marks = spark.createDataFrame([(a, a % 3) for a in range(10)], "id long, label int")
+    g = Graph.from_edges(edges_of(spark, pairs), labels=marks if labels else None)
     batch = sources.changes(spark.createDataFrame([(a, b, int(rng.random() < 0.5)) for a in range(10) for b in range(a) if rng.random() < 0.2], "a long, b long, add int"))
-    p = Pattern.named(name)
-    d = delta_count(g, batch, p).first()
-    assert count(g.changed(batch), p) - count(g, p) == d["change"] == d["added"] - d["removed"]
+    p = Pattern.named(name).with_labels(labels) if labels else Pattern.named(name)
+    d = delta_count(g, batch, p, induced).first()
+    assert count(g.changed(batch), p, induced=induced) - count(g, p, induced=induced) == d["change"] == d["added"] - d["removed"]
+
+
+def test_delta_far_from_the_batch(spark):
+    """Only the batch's surroundings are read: a long path and a triangle at its end."""
+    g = Graph.from_edges(edges_of(spark, [(k, k + 1) for k in range(60)]))
+    batch = sources.changes(spark.createDataFrame([(58, 60, 1), (0, 1, 0)], "a long, b long, add int"))
+    assert delta_count(g, batch, Pattern.clique(3)).first().asDict() == {"removed": 0, "added": 1, "change": 1}
+    three = Pattern.of(4, [(0, 1), (1, 2), (2, 3)])
+    d = delta_count(g, batch, three).first()
+    assert count(g.changed(batch), three) - count(g, three) == d["change"]
+
+
+def test_a_hub(spark):
+    """A star with a clique at its centre: both executors, and candidate sets narrowed by the cost rule."""
+    pairs = [(0, k) for k in range(1, 20_000)] + [(a, b) for a in range(1, 6) for b in range(a)]
+    g = Graph.from_edges(edges_of(spark, pairs)).persist()
+    for executor in ("array", "join"):
+        assert count(g, Pattern.clique(4), executor=executor) == 15
+    assert count(g, Pattern.clique(4), pruning="cost", stats=g.stats()) == 15
 
 
 def test_several_and_work(q):

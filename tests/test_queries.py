@@ -5,7 +5,7 @@ import pytest
 
 from motifloom import queries
 
-NAMES = ["graph_stats", "p3_vertex", "p5_iep", "labelled_p3_array", "motif3_census", "delta_diamond", "set_algebra", "degree_classes", "pair_set_stats", "degree_relabel"]
+NAMES = ["snap_scan_checked", "snap_scan_refused", "saved_vertices", "metadata", "query_file", "changes_file", "update_split", "work_by_triangles", "speedups", "memory_report", "run_log", "running_count", "plan_lines", "pattern_facts", "p3_planned_by_density", "delta_triangle_vertex", "delta_labelled_triangle", "graph_stats", "p3_vertex", "p5_iep", "labelled_p3_array", "motif3_census", "delta_diamond", "set_algebra", "degree_classes", "pair_set_stats", "degree_relabel"]
 
 
 @pytest.fixture(scope="module")

@@ -90,3 +90,21 @@ def test_running_count(spark, tmp_path):
     assert counts == [0, 1, 2, 1]
     run.process(spark.createDataFrame([(1, 2, 1)], CHANGE), 2)  # an epoch that comes again changes nothing
     assert [r["n"] for r in run.counts().orderBy("epoch").collect()] == counts
+
+
+def test_running_count_compacts(spark, tmp_path):
+    """Edges are written anew every few epochs, what they hold goes, and counts go on, vertex-induced and labelled too."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)], "id long, label int")
+    p = Pattern.of(3, [(0, 1), (1, 2)]).with_labels((0, 1, 0))
+    run = RunningCount(spark, str(tmp_path / "state"), p, induced="vertex", labels=labels, compact_every=3)
+    pairs = {(1, 2), (2, 3), (3, 4)}
+    graph = lambda: Graph.from_edges(spark.createDataFrame(sorted(pairs), "src long, dst long"), labels=labels)
+    run.start(graph())
+    want = [count(graph(), p, induced="vertex")]
+    for k, (a, b, add) in enumerate([(4, 5, 1), (2, 4, 1), (1, 2, 0), (5, 6, 1), (1, 2, 1), (2, 4, 0), (6, 7, 1)]):
+        run.process(spark.createDataFrame([(a, b, add)], CHANGE), k)
+        pairs = pairs | {(a, b)} if add else pairs - {(a, b)}
+        want.append(count(graph(), p, induced="vertex"))
+    assert [r["n"] for r in run.counts().orderBy("epoch").collect()] == want
+    assert len(list((tmp_path / "state" / "edges").glob("epoch=*"))) == 1
+    assert len(list((tmp_path / "state" / "changes").glob("epoch=*"))) <= 3
