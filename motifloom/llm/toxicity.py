@@ -40,14 +40,14 @@ from motifloom.llm.textkit import Words, chunks, mix, text_buffer
 CALIBRATION_ROWS = 20_000
 #: Labelled rows up to which their ids are sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Bytes of text, about, for each block of texts and each range of keys.
-BLOCK_BYTES = 32 << 20
+#: Bytes of text, about, of each block of texts; and of a range of keys, bytes counted there or asking there, whichever needs more ranges.
+BLOCK_BYTES, COUNTED_BYTES, ASKING_BYTES = 64 << 20, 24 << 20, 128 << 20
 #: Shuffle partitions, at most, that blocks and ranges are dealt to; a partition's blocks and ranges are worked on one by one.
 MOST_PARTITIONS = 32_768
-#: Words, or different n-grams, that a task gathers before it hands them on.
-HELD = 3 << 20
-#: Bits of a key beyond those that number the counted words: a foreign n-gram is taken for a counted one at a chance of 2^-17.
-SPARE_BITS = 17
+#: Words, or different bigrams, that a task gathers before it hands them on.
+HELD_WORDS, HELD_PAIRS = 3 << 20, 2 << 20
+#: Bits of a key beyond those that number the counted words: a foreign n-gram is taken for a counted one at a chance of 2^-14 at most.
+SPARE_BITS = 14
 PREDICT_FROM = 0.3
 
 _GAP = np.ones(256, bool)
@@ -69,15 +69,16 @@ def fold_of(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Keys:
-    """Names of words and bigrams, ``bits`` of their hashes, and the ``parts`` that their range is cut into."""
+    """Names of words and bigrams, ``bits`` of their hashes, the ``parts`` that their range is cut into, and the ``blocks`` of texts that ask for them."""
 
     bits: int
     parts: int
+    blocks: int = 1
 
     @staticmethod
-    def of(n_bytes: int) -> Keys:
-        """For a corpus of so many bytes."""
-        return Keys(min(64, int(n_bytes // 4 + 1).bit_length() + SPARE_BITS), int(n_bytes // BLOCK_BYTES) + 1)
+    def of(counted: int, scored: int) -> Keys:
+        """For so many bytes of texts."""
+        return Keys(min(64, (counted // 5 + 1).bit_length() + SPARE_BITS), max(counted // COUNTED_BYTES, scored // ASKING_BYTES) + 1, scored // BLOCK_BYTES + 1)
 
     @property
     def start(self) -> np.uint64:
@@ -132,12 +133,12 @@ def _same(sorted_values: np.ndarray) -> np.ndarray:
 
 def _merged(key: np.ndarray, carried: list[np.ndarray], summands: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """One row for each key, in their order, with its first carried values and the sums of the others."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     at = _same(key)
     if not len(at):
         return key, carried, summands
-    return key[at], [c[order][at] for c in carried], [np.add.reduceat(s[order], at) for s in summands]
+    return key[at], [c[order][at] for c in carried], [np.add.reduceat(s[order], at, dtype=np.uint64) for s in summands]
 
 
 def _count(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordBatch]:
@@ -176,9 +177,9 @@ def _count(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordB
             key, (b, w), n = _merged(keys.pair(before, word), [before, word], [own.astype(np.uint32), (~own).astype(np.uint32)])
             held.append((key, b, w, *n))
             size += len(key)
-            if size > HELD:
+            if size > HELD_PAIRS:
                 size = len(merge()[0])
-                if size > HELD // 2:
+                if size > HELD_PAIRS // 2:
                     yield flush()
                     size = 0
     if held:
@@ -214,15 +215,14 @@ def _having(*counts: np.ndarray) -> list[int]:
 def _merge_pairs(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordBatch]:
     """Kind -1: a part's bigrams with the counts of both classes. Kind 0: by parts of words, what they tell of words."""
     for part, blobs in _each_part(batches):
-        held = []
-        for blob in blobs:
-            (words, one, two, n0, n1), _ = unpack(blob)
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        while blobs:
+            (words, one, two, n0, n1), _ = unpack(blobs.pop())
             words = summed(words)
-            first, last = words[summed(one)], words[summed(two)]
-            held.append((keys.pair(first, last), first, last, n0.astype(np.uint64), n1.astype(np.uint64)))
-        key, first, last, n0, n1 = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
-        key, (first, last), n = _merged(key, [first, last], [n0, n1])
+            for column, x in zip(held, (words[summed(one)], words[summed(two)], n0, n1), strict=True):
+                column.append(x)
+        first, last, n0, n1 = (np.concatenate(held.pop(0)) for _ in range(4))
+        key, (first, last), n = _merged(keys.pair(first, last), [first, last], [n0, n1])
         yield _rows([part], [-1], [pack([steps(key), *n])], [_having(*n, n[0] + n[1])])
         words = np.unique(np.concatenate([first, last]))
         one, two = np.searchsorted(words, first), np.searchsorted(words, last)
@@ -271,8 +271,14 @@ class Model:
     total: list[int]  # of continuation counts: toxic, ordinary, both together
     left: list[float]  # share of the lower order that each class leaves to the shared one
 
-    def ratios(self) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """log P(toxic) - log P(ordinary) of bigrams, and of their last words in the lower order, from the bigrams' counts (2 x n) and those of their last and first words (_OF_WORD x n)."""
+    def chances(self) -> tuple[Callable, Callable]:
+        """(of words, of bigrams): what words' counts (_OF_WORD x n) give, and log P(toxic) - log P(ordinary) of bigrams and of their last words in the lower order.
+
+        Of words: their chance in both classes' lower orders, what they leave as
+        a context to the next order (both classes, both together), and how many
+        words follow them in both classes. Of bigrams: from their counts (2 x n),
+        and what their last and their first words give.
+        """
         of_pairs, of_words, total, left = self.of_pairs, self.of_words, self.total, self.left
 
         def lost(n: np.ndarray, by: tuple[float, float, float]) -> np.ndarray:
@@ -282,26 +288,27 @@ class Model:
             """Share that a context leaves to the next order: all, if it was never seen."""
             return np.where(all_ > 0, (by[0] * counts[0] + by[1] * counts[1] + by[2] * counts[2]) / np.maximum(all_, 1), 1.0)
 
-        def run(n: np.ndarray, last: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def words(n: np.ndarray) -> np.ndarray:
             # A word that neither class has counts as one that follows one word in both together.
-            shared = np.maximum(last[2].astype(float), 1) / max(1, total[2])
-            both, of_both = n[0] + n[1], (first[6] + first[10]).astype(float)
-            pooled, rest = (both - lost(both, of_pairs[2])) / np.maximum(of_both, 1), given(first[11:], of_both, of_pairs[2])
-            chance, low = [], []
-            for c in (0, 1):
-                all_ = first[6 + 4 * c].astype(float)
-                low.append((last[c] - lost(last[c], of_words[c])) / max(1, total[c]) + left[c] * shared)
-                chance.append((n[c] - lost(n[c], of_pairs[c])) / np.maximum(all_, 1) + given(first[3 + 4 * c :], all_, of_pairs[c]) * (pooled + rest * low[c]))
+            shared = np.maximum(n[2], 1).astype(float) / max(1, total[2])
+            low = [(n[c] - lost(n[c], of_words[c])) / max(1, total[c]) + left[c] * shared for c in (0, 1)]
+            all_ = [n[6].astype(float), n[10].astype(float)]
+            return np.stack([*low, given(n[3:], all_[0], of_pairs[0]), given(n[7:], all_[1], of_pairs[1]), given(n[11:], all_[0] + all_[1], of_pairs[2]), *all_])
+
+        def bigrams(n: np.ndarray, low: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            both = n[0] + n[1]
+            pooled = (both - lost(both, of_pairs[2])) / np.maximum(first[3] + first[4], 1)
+            chance = [(n[c] - lost(n[c], of_pairs[c])) / np.maximum(first[3 + c], 1) + first[c] * (pooled + first[2] * low[c]) for c in (0, 1)]
             return np.log(chance[0] / chance[1]), np.log(low[0] / low[1])
 
-        return run
+        return words, bigrams
 
 
 def count_model(texts: DataFrame, keys: Keys) -> Model:
     """The model of ``texts`` (``text``, ``toxic``)."""
     ship(texts.sparkSession)
     tasks = min(keys.parts, MOST_PARTITIONS)
-    dealt = lambda df: df.repartition(tasks, "part").sortWithinPartitions("part")
+    dealt = lambda df: df.repartitionById(tasks, F.col("part")).sortWithinPartitions("part")
     counted = texts.select("text", "toxic").mapInArrow(lambda x: _count(x, keys), "part int, blob binary")
     merged = durable(dealt(counted).mapInArrow(lambda x: _merge_pairs(x, keys), _COUNTED), "toxic-pairs", by="kind")
     words = durable(dealt(merged.where("kind = 0").select("part", "blob")).mapInArrow(_merge_words, _COUNTED), "toxic-words")
@@ -358,7 +365,7 @@ def _deal(batches: Iterator[pa.RecordBatch], keys: Keys, keep: int) -> Iterator[
             held.append((keys.short(words.hash), words.per_row(), block[first:last]))
             beside.append(batch.slice(first, last - first).select(list(range(keep))))
             size += len(words.hash) + last - first
-            if size > HELD:
+            if size > HELD_WORDS:
                 yield flush()
                 size = 0
     if held:
@@ -385,6 +392,8 @@ def _asked(blobs: list[bytes], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
         texts = _Texts(blob, keys)
         pairs.append(np.unique(texts.pair))
         words.append(texts.entries)
+        if sum(map(len, pairs[1:])) > 2 * HELD_PAIRS:
+            pairs, words = [np.unique(np.concatenate(pairs))], [np.unique(np.concatenate(words))]
     return np.unique(np.concatenate(pairs)), np.unique(np.concatenate(words))
 
 
@@ -452,13 +461,23 @@ def _features(bigram: np.ndarray, word: np.ndarray, count: np.ndarray) -> list[n
     return out
 
 
-def _score(dealt: pa.Table, answers: pa.Table, keys: Keys, ratios: Callable) -> pa.Table:
+def _score(dealt: pa.Table, answers: pa.Table, keys: Keys, chances: tuple[Callable, Callable]) -> pa.Table:
     """The kept columns and the features of a block's texts, from the counts that it was told."""
     blobs = dealt["blob"].to_pylist()
+    del dealt
     pairs, words = _asked(blobs, keys)
-    told = [unpack(a)[0] for a in answers.sort_by("part")["blob"].to_pylist()]
-    counts = [np.concatenate(x) for x in zip(*told, strict=True)]
-    of_pairs, of_words = np.stack(counts[:2]), np.stack(counts[2:])
+    of_pairs, of_words = np.empty((2, len(pairs)), np.float32), np.empty((_OF_WORD, len(words)), np.float32)
+    at = [0, 0]
+    for told in answers.sort_by("part")["blob"]:
+        counts, _ = unpack(told.as_py())
+        for k, (table, some) in enumerate(((of_pairs, counts[:2]), (of_words, counts[2:]))):
+            for row, c in zip(table, some, strict=True):
+                row[at[k] : at[k] + len(c)] = c
+            at[k] += len(some[0])
+    if at != [len(pairs), len(words)]:
+        raise ValueError("a block's answers don't fit what it asked")
+    given, bigrams = chances
+    of_words = given(of_words)
     out = []
     for blob in blobs:
         texts = _Texts(blob, keys)
@@ -466,7 +485,7 @@ def _score(dealt: pa.Table, answers: pa.Table, keys: Keys, ratios: Callable) ->
         if len(texts.word):
             each, at = np.unique(texts.pair, return_index=True)
             last, first = (np.searchsorted(words, w[at]) for w in (texts.word, texts.before))
-            told = ratios(of_pairs[:, np.searchsorted(pairs, each)], of_words[:, last], of_words[:, first])
+            told = bigrams(of_pairs[:, np.searchsorted(pairs, each)], of_words[:2, last], of_words[2:, first])
             place = np.searchsorted(each, texts.pair)
             x = _features(told[0][place], told[1][place], texts.count)
         begin = 0
@@ -480,19 +499,19 @@ def _score(dealt: pa.Table, answers: pa.Table, keys: Keys, ratios: Callable) ->
 def text_features(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
     """The columns ``keep``, by place as ``c0``, ``c1`` ..., and _FEATURES of each row's text."""
     ship(docs.sparkSession)
-    keys, ratios, n = model.keys, model.ratios(), len(keep)
+    keys, chances, n = model.keys, model.chances(), len(keep)
     own = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    block = F.pmod(F.xxhash64("doc_id", own), F.lit(keys.parts)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", own), F.lit(keys.blocks)).cast("int")
     names = [f"c{k}" for k in range(len(keep))]
     narrow = docs.select(*[c.alias(n) for c, n in zip(keep, names, strict=True)], own.alias("text"), block.alias("block"))
-    tasks = min(keys.parts, MOST_PARTITIONS)
-    dealt = narrow.mapInArrow(lambda x: _deal(x, keys, n), _ROW).repartition(tasks, "block")
+    to = lambda df, name, many: df.repartitionById(min(many, MOST_PARTITIONS), F.col(name))
+    dealt = to(narrow.mapInArrow(lambda x: _deal(x, keys, n), _ROW), "block", keys.blocks)
     asked = dealt.sortWithinPartitions("block").mapInArrow(lambda x: _ask(x, keys), _ROW)
     table = lambda df, kind: df.select(F.lit(None).cast("int").alias("block"), F.lit(kind).alias("kind"), "part", "blob")
     tables = table(model.pairs, -1).unionByName(table(model.words, 0)).unionByName(asked)
-    told = tables.repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(_answer, _ROW).repartition(tasks, "block")
+    told = to(to(tables, "part", keys.parts).sortWithinPartitions("part", "kind").mapInArrow(_answer, _ROW), "block", keys.blocks)
     out = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[:n]] + [f"{x} double" for x in _FEATURES])
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, keys, ratios), out)
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, keys, chances), out)
 
 
 def calibrate(seen: DataFrame, tests: DataFrame) -> np.ndarray:
@@ -535,10 +554,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     are added. A text is worked on whole, in one task: about 60 bytes of
     memory a byte of the longest text.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    keys = Keys.of(size)
+    size = lambda df: df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     counted, tests = _labelled(docs, labels)
-    model = count_model(counted, keys)
+    model = count_model(counted, Keys.of(size(counted), size(docs)))
     own = F.coalesce(F.col("text").cast("string"), F.lit(""))
     made = text_features(docs, model, [*[F.col(c) for c in keep], fold_of(F.col("doc_id")) == 2, F.xxhash64(own)])
     n = len(keep)
