@@ -59,17 +59,21 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     n = width * height * planes
     if kind in b"14":  # 0 is white in bitmaps
         if kind == b"1":
-            bits = np.array([c - 48 for c in re.sub(rb"#[^\n]*|\s", b"", data[at:])], np.uint8)[:n]
+            bits = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", data[at:])[:n], np.uint8) - np.uint8(48)
+            if (bits > 1).any():
+                raise ValueError("Netpbm bits are 0 or 1")
         else:
             packed = np.frombuffer(data, np.uint8, offset=at + 1)[: (width + 7) // 8 * height]
             bits = np.unpackbits(packed.reshape(height, -1), axis=1)[:, :width].ravel()
         samples = (1 - bits) * 255
     elif kind in b"23":
-        samples = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], np.int64)
+        samples = np.array([int(x) if len(x) < 9 else -1 for x in re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n]], np.int64)
     else:
         samples = np.frombuffer(data, ">u2" if peak > 255 else np.uint8, offset=at + 1)[:n]
     if len(samples) < n:
         raise ValueError("Netpbm samples are missing")
+    if kind not in b"14" and (int(samples.max()) > peak or int(samples.min()) < 0):
+        raise ValueError("Netpbm samples are above the maximum")
     if kind not in b"14" and peak != 255:
         samples = (samples.astype(np.int64) * 255 + peak // 2) // peak
     shape = (height, width, 3) if planes == 3 else (height, width)
@@ -97,7 +101,7 @@ def decode_image(data: bytes) -> np.ndarray:
             return _decode_netpbm(data)
         if data[:2] == b"BM":
             return _decode_bmp(data)
-    except (struct.error, IndexError) as problem:
+    except (struct.error, IndexError, OverflowError, MemoryError) as problem:
         raise ValueError(str(problem)) from problem
     raise ValueError("neither Netpbm nor BMP")
 
@@ -169,12 +173,13 @@ def _batches(rows: Iterator[tuple[tuple, int]], kept: list[pa.Array], schema: pa
 def _apply(df: DataFrame, source: Column, keep: list[str], added: pa.Schema, each) -> DataFrame:
     """``each`` of every value of ``source``, beside the columns ``keep``, which are selected by position."""
     from pyspark.sql.pandas.types import from_arrow_schema
+    from pyspark.sql.types import StructType
 
     ship(df.sparkSession)
-    narrow = df.select(*keep, source.alias("__source")) if keep else df.select(source.alias("__source"))
-    out = narrow.drop("__source").schema
-    for field in from_arrow_schema(added).fields:
-        out = out.add(field)
+    narrow = df.select(*keep, source)
+    names = [*narrow.columns[:-1], *added.names]
+    narrow = narrow.toDF(*[f"c{k}" for k in range(len(narrow.columns))])  # by place, so that any name will do
+    out = StructType([*narrow.schema.fields[:-1], *from_arrow_schema(added).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +188,7 @@ def _apply(df: DataFrame, source: Column, keep: list[str], added: pa.Schema, eac
             schema = pa.schema([*zip(names, [k.type for k in kept], strict=True), *added])
             yield from _batches((each(x.as_py()) for x in batch.column(len(names))), kept, schema)
 
-    return narrow.mapInArrow(run, out)
+    return narrow.mapInArrow(run, out).toDF(*names)
 
 
 def text_media(text: str | None) -> tuple[bytes, str, bytes]:

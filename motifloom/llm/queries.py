@@ -13,11 +13,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motifloom.llm.durable import durable
     from motifloom.llm.media import media_features, media_from_texts
 
     stored = media_from_texts(_table(spark, sf_dir, "documents"), ["doc_id"])
     told = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
-    return media_features(stored, "media", [*told, "media_format"]).select(*told, "feature", "media_format", F.size("tiles").alias("n_tiles"), F.sha2(F.array_join(F.transform("tiles", lambda x: F.sha2(x, 256)), ","), 256).alias("tiles_sha256"))
+    # The tiles are written as NPY bytes; their digest is that of what is read back.
+    return durable(media_features(stored, "media", [*told, "media_format"]), "media-tiles").select(*told, "feature", "media_format", F.size("tiles").alias("n_tiles"), F.sha2(F.array_join(F.transform("tiles", lambda x: F.sha2(x, 256)), ","), 256).alias("tiles_sha256"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +56,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motifloom.llm.licenses import scan_licenses
 
     found = scan_licenses(_table(spark, sf_dir, "documents"), ["doc_id"])
-    lines = F.filter("matches", lambda x: x["line"] >= 0)
-    names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda x: x["license"]))), ",")
-    return found.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.exists("matches", lambda x: x["line"] < 0).alias("whole_text"), names.alias("licenses"), F.array_max(F.transform("matches", lambda x: x["score"])).alias("best_score"))
+    told = F.transform("matches", lambda x: F.concat_ws(":", x["license"], x["shared"].cast("string"), x["first"].cast("string"), x["last"].cast("string")))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(told, ",").alias("licenses"), F.array_max(F.transform("matches", lambda x: x["score"])).alias("best_score"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def test_other_netpbm():
     assert media.decode_image(b"P2\n2 1\n15\n15 0\n").tolist() == [[255, 0]]
     assert media.decode_image(b"P5 1 1 65535\n\xff\xff").tolist() == [[255]]
     assert media.decode_image(b"P3 1 1 255 1 2 3").tolist() == [[[1, 2, 3]]]
-    for bad in (b"", b"P5 3 3 255\n12", b"P6 0 1 255\n", b"GIF89a", b"BM123", b"P6"):
+    for bad in (b"", b"P5 3 3 255\n12", b"P6 0 1 255\n", b"GIF89a", b"BM123", b"P6", b"P1\n2 2\n+ + + +", b"P1 1 1 7", b"P2\n1 1\n255\n" + b"9" * 25, b"P2 1 1 255 300", b"P6 1 1 9 \xff\xff\xff", media.encode_bmp(np.zeros((1, 1, 3), np.uint8))[:22] + b"\0\0\0\x80" + bytes(40)):
         with pytest.raises(ValueError):
             media.decode_image(bad)
 
@@ -87,32 +87,49 @@ def test_media_query(odd_docs, no_docs, tmp_path):
 # --- licences ---
 
 
-def brute_license(unit):
-    words = re.findall("[a-z0-9]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in unit))
-    grams = set(zip(words, words[1:], strict=False))
-    best = None
-    for name, text in licenses.TEMPLATES:
-        w = re.findall("[a-z0-9]+", text.lower())
+def brute_licenses(text):
+    """By licence the best of all windows of whole words, whatever their size: (-score, -shared, first, last)."""
+    words = re.findall("[a-z0-9]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    grams = list(zip(words, words[1:], strict=False))
+    found = {}
+    for name, template in licenses.TEMPLATES:
+        w = re.findall("[a-z0-9]+", template.lower())
         t = set(zip(w, w[1:], strict=False))
-        score = 2.0 * len(grams & t) / (len(grams) + len(t)) if grams else 0.0
-        if score >= licenses.THRESHOLD and (best is None or (-score, name) < best):
-            best = (-score, name)
-    return best
-
-
-def test_licenses_by_brute_force(odd_docs, docs, no_docs):
-    both = odd_docs.select("doc_id", "text").union(docs.select("doc_id", "text"))
-    seen = 0
-    for r in licenses.scan_licenses(both.withColumn("t", both.text), ["doc_id", "t"]).collect():
-        text = r["t"] or ""
-        want = [(k, b) for k, b in [(-1, brute_license(text)), *((k, brute_license(x)) for k, x in enumerate(text.split("\n")))] if b]
-        got = [(m["line"], (-m["score"], m["license"])) for m in r["matches"]]
-        assert got == want
+        near = [k for k, g in enumerate(grams) if g in t]
+        for a in near:
+            seen = set()
+            for b in range(a, min(len(grams), a + 2 * len(t) + 2)):
+                seen.add(grams[b])
+                shared = len(seen & t)
+                score = 2.0 * shared / (len(seen) + len(t))
+                if score >= licenses.THRESHOLD:
+                    found[name] = min(found.get(name, (0,)), (-score, -shared, a, b + 1))
+    return found
+
+
+LICENSED = (
+    "It is Released under the MIT License. Have a good day, and see the LICENSE file for details.",
+    "Copyright 2020 Acme Corp. All rights\nreserved. Licensed under the\nApache License, Version 2.0.",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without any restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, and/or sell copies, subject to the following conditions",
+    "Licensed under the license. Licensed under CC BY 4.0! licensed under cc by-nc 4.0",
+    licenses.TEMPLATES[11][1] + " tail of " + licenses.TEMPLATES[9][1],
+    "released under the", "mit", "under the terms of the " * 30,
+)
+
+
+def test_licenses_by_brute_force(spark, odd_docs, docs, no_docs):
+    own = spark.createDataFrame(list(enumerate(LICENSED)), "doc_id long, text string")
+    both = odd_docs.select("doc_id", "text").union(docs.select("doc_id", "text")).union(own)
+    seen = set()
+    for r in licenses.scan_licenses(both.withColumn("__text", both.text), ["doc_id", "__text"]).collect():
+        text = r["__text"] or ""
+        got = {m["license"]: (-m["score"], -m["shared"], m["first"], m["last"]) for m in r["matches"]}
+        assert got == brute_licenses(text) and [m["license"] for m in r["matches"]] == sorted(got)
         raw = text.encode()
         for m in r["matches"]:
-            assert 0 <= m["start"] < m["end"] <= len(raw)
-        seen += len(got)
-    assert seen > 3
+            assert len(re.findall(b"[A-Za-z0-9]+", raw[m["start"] : m["end"]])) == m["last"] - m["first"] + 1
+        seen |= set(got)
+    assert {"MIT", "Apache-2.0", "All-Rights-Reserved", "CC-BY-4.0", "CC-BY-NC-4.0", "BSD-2-Clause", "BSD-3-Clause"} <= seen
     assert licenses.scan_licenses(no_docs, ["doc_id"]).count() == 0
 
 
