@@ -39,7 +39,7 @@ def join_stages(graph: Graph, plan: MatchPlan, relation: Callable[[int, int], Da
     """
     relation = relation or (lambda a, b: graph.edges)
     absent = absent or (lambda a, b: graph.edges)
-    labels = _label_table(graph, plan.pattern)
+    labels = label_table(graph, plan.pattern)
     first = relation(0, 1).select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
     rows = _filtered(first, _checks(plan, 1))
     for k in (0, 1):
@@ -63,7 +63,8 @@ def _filtered(rows: DataFrame, checks: list[Column]) -> DataFrame:
     return rows
 
 
-def _label_table(graph: Graph, pattern: Pattern) -> DataFrame | None:
+def label_table(graph: Graph, pattern: Pattern) -> DataFrame | None:
+    """The graph's labels, if the pattern has any."""
     if not pattern.labels or all(x is None for x in pattern.labels):
         return None
     if graph.labels is None:
@@ -95,7 +96,7 @@ class _Arrays:
         if pruning == "cost":
             stats = stats or graph.stats()
             self.narrowed = {t for t in range(n) if worth_narrowing(plan, t, stats)}
-        self.labelled = _label_table(graph, self.pattern) is not None
+        self.labelled = label_table(graph, self.pattern) is not None
         if self.labelled:
             self.adj = graph.labelled_adj().select("id", "label", F.col("by_label").alias("nbrs"))
         else:
