@@ -29,6 +29,8 @@ RECALL = 0.99
 STRANGERS = 0.05
 #: Rows of half a block.
 BLOCK = 512
+#: Labels up to which their sizes are sent to every executor; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 
 
 def _same_cell(distance: float, cell: float = CELL) -> float:
@@ -164,27 +166,31 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = RECAL
     rows = durable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), e.alias("e"), F.coalesce(fine, F.lit(False)).alias("fine")).withColumn("gid", F.when(F.col("fine"), F.xxhash64("label", "e"))).select("vec_id", "gid", F.when(F.col("fine"), F.col("label")).alias("label"), F.when(F.col("fine"), F.col("e")).alias("e")), "vectors")
     # Equal vectors of a label are one from here on; a 64-bit hash stands for them.
     groups = durable(rows.where("gid is not null").groupBy("gid").agg(F.first("label").alias("label"), F.first("e").alias("e"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "vector-groups")
-    largest = groups.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    k, tables = plan_tables(largest, cosine, recall)
+    # Labels are planned for by size, up to a factor of four, so that small ones have few tables.
+    sizes = durable(groups.groupBy("label").agg(F.ceil(F.log2(F.count("*")) / 2).cast("int").alias("tier")), "vector-labels")
+    plans = {r["tier"]: plan_tables(4 ** r["tier"], cosine, recall) for r in sizes.select("tier").distinct().collect()}  # some 30 at most
+    tiered = groups.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LABELS else sizes, "label")
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                arrays = [np.array(x.as_py()) for x in part.column("e")]
-                by_size: dict[int, list[int]] = {}
-                for i, x in enumerate(arrays):
-                    by_size.setdefault(len(x), []).append(i)
-                for members in by_size.values():
-                    one = np.stack([arrays[i] for i in members])
-                    one /= np.abs(one).max(axis=1, keepdims=True)  # no overflow in the norm
+                lists = part.column("e")
+                at = np.asarray(lists.offsets)
+                values = np.asarray(lists.values)
+                kind = np.stack([np.diff(at), np.asarray(part.column("tier"))], axis=1)
+                for size, tier in np.unique(kind, axis=0).tolist():
+                    members = np.flatnonzero((kind == (size, tier)).all(axis=1))
+                    one = values[at[members][:, None] + np.arange(size)]
+                    one = one / np.abs(one).max(axis=1, keepdims=True)  # no overflow in the norm
                     one /= np.linalg.norm(one, axis=1, keepdims=True)
                     own = part.take(pa.array(members))
+                    k, tables = plans[tier]
                     keys = bucket_keys(one, np.asarray(own.column("salt")).view(np.uint64), k, tables)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(signed(keys.ravel())))
-                    yield pa.RecordBatch.from_arrays([own.column("gid"), own.column("copies"), pa.array([x.tobytes() for x in one]), lists], names=["gid", "copies", "vector", "keys"])
+                    lists_ = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(signed(keys.ravel())))
+                    yield pa.RecordBatch.from_arrays([own.column("gid"), own.column("copies"), pa.array([x.tobytes() for x in one]), lists_], names=["gid", "copies", "vector", "keys"])
 
-    hashed = groups.select("gid", "copies", "e", F.xxhash64("label", F.size("e")).alias("salt")).mapInArrow(hash_all, "gid long, copies long, vector binary, keys array<long>")
+    hashed = tiered.select("gid", "copies", "e", F.xxhash64("label", F.size("e")).alias("salt"), "tier").mapInArrow(hash_all, "gid long, copies long, vector binary, keys array<long>")
     hashed = durable(hashed, "vector-keys")
     cells = hashed.select("gid", F.posexplode("keys").alias("table_no", "bucket"))
     crowded = cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -194,7 +200,8 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = RECAL
     members = members.select("gid", "table_no", "bucket", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     block = ["table_no", "bucket", "lo", "hi"]
-    dealt = members.join(hashed, "gid").repartition(n, *block).sortWithinPartitions(*block)
+    # Half of each key tells whether two vectors have met in an earlier table.
+    dealt = members.join(hashed.withColumn("keys", F.expr("transform(keys, x -> cast(shiftright(x, 32) as int))")), "gid").repartition(n, *block).sortWithinPartitions(*block)
     seen = durable(dealt.select(*block, "part", "gid", "copies", "vector", "keys").mapInArrow(lambda batches: _compare(batches, cosine), "a long, b long, n long"), "vector-links")
 
     links = seen.where("n is not null").groupBy(F.col("a").alias("gid")).agg(F.sum("n").alias("n"))
