@@ -46,6 +46,8 @@ BLOCK_BYTES, COUNTED_BYTES, ASKING_BYTES = 64 << 20, 24 << 20, 128 << 20
 MOST_PARTITIONS = 32_768
 #: Words, or different bigrams, that a task gathers before it hands them on.
 HELD_WORDS, HELD_PAIRS = 3 << 20, 2 << 20
+#: Different bigrams whose chances are worked out at once.
+TOLD_PAIRS = 1 << 17
 #: Bits of a key beyond those that number the counted words: a foreign n-gram is taken for a counted one at a chance of 2^-14 at most.
 SPARE_BITS = 14
 PREDICT_FROM = 0.3
@@ -91,13 +93,6 @@ class Keys:
     def pair(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return self.short(mix(first * _PAIR + last))
 
-    def before(self, word: np.ndarray, opens: np.ndarray) -> np.ndarray:
-        """The word before each, given which open a text."""
-        out = np.empty_like(word)
-        out[1:] = word[:-1]
-        out[opens] = self.start
-        return out
-
     def cuts(self, sorted_keys: np.ndarray) -> list[tuple[int, int, int]]:
         """(part, from, to) of the parts that have any of the keys."""
         inner = np.array([-(-(k << self.bits) // self.parts) for k in range(1, self.parts)], np.uint64)
@@ -131,6 +126,21 @@ def _same(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.zeros(0, np.int64)
 
 
+def _distinct(*values: np.ndarray) -> np.ndarray:
+    """The different values, sorted. ``np.unique`` hashes integers, which takes many times as long as sorting these."""
+    out = np.concatenate(values)
+    out.sort()
+    return out[_same(out)]
+
+
+def _before(word: np.ndarray, opens: np.ndarray, start: int | np.uint64) -> np.ndarray:
+    """The word before each, given which open a text and what is before those."""
+    out = np.empty_like(word)
+    out[1:] = word[:-1]
+    out[opens] = start
+    return out
+
+
 def _merged(key: np.ndarray, carried: list[np.ndarray], summands: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """One row for each key, in their order, with its first carried values and the sums of the others."""
     order = np.argsort(key)
@@ -157,7 +167,7 @@ def _count(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordB
         held.clear()
         parts, blobs = [], []
         for part, a, b in keys.cuts(key):
-            words = np.unique(np.concatenate([first[a:b], last[a:b]]))
+            words = _distinct(first[a:b], last[a:b])
             one, two = (np.searchsorted(words, x[a:b]).astype(np.uint32) for x in (first, last))
             order = np.lexsort((one, two))
             parts.append(part)
@@ -172,7 +182,7 @@ def _count(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordB
             if not len(words.hash):
                 continue
             word = keys.short(words.hash)
-            before = keys.before(word, _same(words.row))
+            before = _before(word, _same(words.row), keys.start)
             own = toxic[first:last][words.row]
             key, (b, w), n = _merged(keys.pair(before, word), [before, word], [own.astype(np.uint32), (~own).astype(np.uint32)])
             held.append((key, b, w, *n))
@@ -224,7 +234,7 @@ def _merge_pairs(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.R
         first, last, n0, n1 = (np.concatenate(held.pop(0)) for _ in range(4))
         key, (first, last), n = _merged(keys.pair(first, last), [first, last], [n0, n1])
         yield _rows([part], [-1], [pack([steps(key), *n])], [_having(*n, n[0] + n[1])])
-        words = np.unique(np.concatenate([first, last]))
+        words = _distinct(first, last)
         one, two = np.searchsorted(words, first), np.searchsorted(words, last)
         each = lambda at, weights=None: np.bincount(at, weights=weights, minlength=len(words)).astype(np.uint64)
         told = [each(two[n[0] > 0]), each(two[n[1] > 0]), each(two)]
@@ -373,16 +383,15 @@ def _deal(batches: Iterator[pa.RecordBatch], keys: Keys, keep: int) -> Iterator[
 
 
 class _Texts:
-    """What a dealt blob holds."""
+    """What a dealt blob holds: ``entries``, the keys of its different words and of the start, and its bigrams' keys and the places of their words there."""
 
     def __init__(self, blob: bytes, keys: Keys):
-        (entries, number, count), self.beside = unpack(blob)
-        self.entries = summed(entries)
-        self.word = self.entries[number]
+        (entries, self.last, count), self.beside = unpack(blob)
+        self.entries = np.append(summed(entries), keys.start)
         self.count = count.astype(np.int64)
-        self.begin = np.concatenate(([0], np.cumsum(self.count)))
-        self.before = keys.before(self.word, self.begin[:-1][self.count > 0])
-        self.pair = keys.pair(self.before, self.word)
+        begin = np.cumsum(self.count) - self.count
+        self.first = _before(self.last, begin[self.count > 0], len(entries))
+        self.pair = keys.pair(self.entries[self.first], self.entries[self.last])
 
 
 def _asked(blobs: list[bytes], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
@@ -390,11 +399,12 @@ def _asked(blobs: list[bytes], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
     pairs, words = [np.zeros(0, np.uint64)], [np.full(1, keys.start)]
     for blob in blobs:
         texts = _Texts(blob, keys)
-        pairs.append(np.unique(texts.pair))
+        pairs.append(_distinct(texts.pair))
         words.append(texts.entries)
+        del texts
         if sum(map(len, pairs[1:])) > 2 * HELD_PAIRS:
-            pairs, words = [np.unique(np.concatenate(pairs))], [np.unique(np.concatenate(words))]
-    return np.unique(np.concatenate(pairs)), np.unique(np.concatenate(words))
+            pairs, words = [_distinct(*pairs)], [_distinct(*words)]
+    return _distinct(*pairs), _distinct(*words)
 
 
 def _ask(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.RecordBatch]:
@@ -478,18 +488,31 @@ def _score(dealt: pa.Table, answers: pa.Table, keys: Keys, chances: tuple[Callab
         raise ValueError("a block's answers don't fit what it asked")
     given, bigrams = chances
     of_words = given(of_words)
+
+    def features(texts: _Texts) -> list[np.ndarray]:
+        if not len(texts.pair):
+            return [np.zeros(len(texts.count))] * len(_FEATURES)
+        order = np.argsort(texts.pair)
+        key = texts.pair[order]
+        at = _same(key)
+        each, some, own = key[at], np.minimum.reduceat(order, at), np.searchsorted(words, texts.entries)
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.repeat(np.arange(len(at), dtype=np.uint32), np.diff(at, append=len(order)))
+        del order, key
+        told = np.empty((2, len(each)))
+        for a in range(0, len(each), TOLD_PAIRS):
+            now = slice(a, a + TOLD_PAIRS)
+            last, first = (own[w[some[now]]] for w in (texts.last, texts.first))
+            told[:, now] = bigrams(of_pairs[:, np.searchsorted(pairs, each[now])], of_words[:2, last], of_words[2:, first])
+        return _features(told[0][place], told[1][place], texts.count)
+
     out = []
     for blob in blobs:
         texts = _Texts(blob, keys)
-        x = [np.zeros(len(texts.count))] * len(_FEATURES)
-        if len(texts.word):
-            each, at = np.unique(texts.pair, return_index=True)
-            last, first = (np.searchsorted(words, w[at]) for w in (texts.word, texts.before))
-            told = bigrams(of_pairs[:, np.searchsorted(pairs, each)], of_words[:2, last], of_words[2:, first])
-            place = np.searchsorted(each, texts.pair)
-            x = _features(told[0][place], told[1][place], texts.count)
+        x, beside = features(texts), texts.beside
+        del texts  # before the next one's are unpacked
         begin = 0
-        for batch in pa.ipc.open_stream(texts.beside):
+        for batch in pa.ipc.open_stream(beside):
             end = begin + batch.num_rows
             out.append(pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(f[begin:end]) for f in x]], names=[*batch.schema.names, *_FEATURES]))
             begin = end

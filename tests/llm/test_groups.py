@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -397,6 +398,28 @@ def test_toxicity_on_the_table(spark, data, docs):
     assert np.mean(clean) <= 0.1 and (not plain or np.mean(plain) >= 0.6)
 
 
+def test_toxicity_asks_at_the_cost_of_sorting():
+    """A block's different n-grams take less than four times as long as sorting its bigrams; hashing them took more than ten times as long."""
+    keys, rng = toxicity.Keys(48, 4), np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in (50_000 * rng.random(20_000) ** 3).astype(int)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts), pa.array([0] * 40, pa.int32())], names=["c0", "text", "block"])
+    (made,) = toxicity._deal(iter([batch]), keys, 1)
+    (blob,) = made.column("blob").to_pylist()
+
+    def cost(f):
+        took = []
+        for _ in range(5):
+            begin = time.thread_time()
+            f()
+            took.append(time.thread_time() - begin)
+        return min(took)
+
+    held = toxicity._Texts(blob, keys)
+    pairs, words = toxicity._asked([blob, blob], keys)
+    assert pairs.tolist() == sorted(set(held.pair.tolist())) and words.tolist() == sorted({*held.entries.tolist(), int(keys.start)})
+    assert cost(lambda: toxicity._asked([blob], keys)) < 4 * cost(lambda: np.sort(toxicity._Texts(blob, keys).pair))
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=50), st.binary(max_size=9))
 @settings(max_examples=40, deadline=None)
 def test_packed_arrays(values, rest):
