@@ -1,11 +1,15 @@
-"""Cutting lineage with written tables that every executor can read."""
+"""Cutting lineage with written tables that every executor can read, and what Python workers load and give back."""
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from motifloom.sources.scratch import new_path
@@ -56,3 +60,21 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     sc.addPyFile(str(archive))
     _shipped.add(sc.applicationId)
+
+
+def giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow``, whose worker then returns to the system what it doesn't use any more.
+
+    Workers stay for later tasks, and what their allocators keep meanwhile is
+    lacking to the executor, also in stages that need no Python.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.durable import ship
+from motifloom.llm.durable import giving_back, ship
 
 #: Context lengths, longest first; powers of two.
 TIERS = (2048, 1024, 512, 256)
@@ -200,4 +200,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int =
         if tokens:
             yield close(doc_ids, tokens, windows, steps)[0]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(giving_back(run), schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motifloom.llm.durable import columns, durable, fresh, ship
+from motifloom.llm.durable import columns, durable, fresh, giving_back, ship
 from motifloom.llm.textkit import Words, chunks, text_buffer
 from motifloom.llm.toxicity import fit_logistic
 
@@ -251,7 +251,7 @@ def _view_rows(docs: DataFrame, keep: list[str], finish, extra: str) -> DataFram
                 made = finish(*views(raw, at, first, last, *[x[first:last] for x in side]))
                 yield pa.RecordBatch.from_arrays([c.slice(first, last - first) for c in batch.columns[:k]] + made, names=out.names)
 
-    return narrow.mapInArrow(run, out).toDF(*names)
+    return narrow.mapInArrow(giving_back(run), out).toDF(*names)
 
 
 def _packed(content: np.ndarray, metadata: np.ndarray) -> pa.Array:
@@ -317,17 +317,17 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
     learnt = F.when(kept, none).otherwise(F.col("quality"))
     labelled = rows.where("quality is not null").select("h", "x", learnt.alias("of_content"), learnt.alias("of_metadata"), F.when(kept, F.col("quality")).otherwise(none).alias("kept"), F.lit(False).alias("pseudo"))
     labelled = durable(_sampled(labelled, LABELLED_ROWS, n_known), "quality-labelled")
-    fitted = lambda sample: Model.of(sample.repartition(1).mapInArrow(_fit_sample, "flat array<double>").first()["flat"])
+    fitted = lambda sample: Model.of(sample.repartition(1).mapInArrow(giving_back(_fit_sample), "flat array<double>").first()["flat"])
     model = fitted(labelled)
     share = labelled.agg(F.avg(F.nanvl("of_content", F.lit(None).cast("double")))).first()[0] or 0.5
     pool = rows.where("quality is null")
     for k in range(rounds if n > n_known and model.content.any() else 0):
         counts = np.zeros((2, _BINS), np.int64)
-        for r in pool.select("x").mapInArrow(lambda x, m=model: _tally(x, m), "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():  # at most 482 rows
+        for r in pool.select("x").mapInArrow(giving_back(lambda x, m=model: _tally(x, m)), "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():  # at most 482 rows
             counts[r["view"], r["bin"]] = r["n"]
         cut = [cuts(c, CONFIDENT * (k + 1) * (n - n_known), share) for c in counts]
         sure = int(sum(c[: low + 1].sum() + c[high:].sum() for c, (low, high) in zip(counts, cut, strict=True)))
-        found = pool.select("h", "x").mapInArrow(lambda x, m=model, c=cut: _confident(x, m, c), _SAMPLE)
+        found = pool.select("h", "x").mapInArrow(giving_back(lambda x, m=model, c=cut: _confident(x, m, c)), _SAMPLE)
         model = fitted(labelled.unionByName(_sampled(found, PSEUDO_ROWS, sure)))
     return model
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.llm.components import connected_components
-from motifloom.llm.durable import columns, durable, fresh, ship
+from motifloom.llm.durable import columns, durable, fresh, giving_back, ship
 from motifloom.llm.textkit import Words, chunks, mix, shingles, signed, text_buffer
 
 #: Sets that may share a lane before it counts as common.
@@ -339,14 +339,14 @@ def _grouped(docs: DataFrame, width: int) -> DataFrame:
     ship(spark)
     text = F.col("text").cast("string")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    told = durable(keyed.mapInArrow(lambda x: _describe(x, width), "doc_id long, key long, set long, n long, bits array<long>, filled array<long>"), "join-documents")
+    told = durable(keyed.mapInArrow(giving_back(lambda x: _describe(x, width)), "doc_id long, key long, set long, n long, bits array<long>, filled array<long>"), "join-documents")
     classes = durable(told.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("filled").alias("filled")), "join-sets")
 
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     expected = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffles, int(expected * 0.8 * 13 // PART_BYTES) + 1)
-    lanes = docs.select(text).mapInArrow(lambda x: _sketch(x, width, parts), "part int, n int, blob binary")
-    met = lanes.repartition(shuffles, "part").sortWithinPartitions("part").mapInArrow(_meet, "key long, band int, sets array<long>")
+    lanes = docs.select(text).mapInArrow(giving_back(lambda x: _sketch(x, width, parts)), "part int, n int, blob binary")
+    met = lanes.repartition(shuffles, "part").sortWithinPartitions("part").mapInArrow(giving_back(_meet), "key long, band int, sets array<long>")
     met = durable(met, "join-met")
     lists = durable(met.where("band is null").groupBy("key").agg(F.first("sets").alias("sets")), "join-lists")
 
@@ -387,7 +387,7 @@ def _grouped(docs: DataFrame, width: int) -> DataFrame:
     side = F.broadcast(dealt) if dealt.count() <= BROADCAST_KEYS else dealt
     texts = keyed.join(side, (F.col("key") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("row_id")))
     full = texts.select(*block, "part", "set", "text").repartition(shuffles, *block).sortWithinPartitions(*block)
-    links = durable(full.mapInArrow(lambda x: _compare_blocks(x, width), "a long, b long"), "join-links")
+    links = durable(full.mapInArrow(giving_back(lambda x: _compare_blocks(x, width)), "a long, b long"), "join-links")
 
     groups = connected_components(links)
     least = classes.select("set", "least").join(groups.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))

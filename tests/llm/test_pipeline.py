@@ -74,3 +74,34 @@ def test_odd_documents(spark, data, odd_docs, no_docs):
             now = stage(spark, now, data)
             assert now.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, now, data).count() >= (docs is odd_docs)
+
+
+def test_workers_give_back_memory(spark):
+    """Workers of stages that came before don't hold what those needed."""
+    import os
+    import re
+    import time
+    from pathlib import Path
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    if not Path("/proc/self/smaps_rollup").exists():
+        pytest.skip("memory can't be read here")
+
+    def probe(batches):
+        list(batches)
+        time.sleep(1)  # so that each task has a worker of its own
+        held = sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([held])], names=["pid", "mb"])
+
+    text = F.expr("concat_ws(' ', transform(sequence(1, 300), i -> substr(sha1(cast(id * 300 + i as string)), 1, 6)))")
+    docs = spark.range(0, 20_000, 1, 2).select(F.col("id").alias("doc_id"), text.alias("text"))
+    environment = spark.sparkContext.environment
+    environment["WORKERS_OF"] = "test_workers_give_back_memory"  # workers that no other test has used
+    try:
+        similar_documents(docs).count()
+        held = {r["pid"]: r["mb"] for r in spark.range(0, 4, 1, 4).mapInArrow(probe, "pid long, mb double").collect()}
+    finally:
+        del environment["WORKERS_OF"]
+    assert max(held.values()) < 120
