@@ -14,8 +14,8 @@ from motifloom.sources import edges as sources
 from motifloom.sources.scratch import shared_dir, written
 
 
-# A fixed value: bytes that Spark expects to read, below which a graph is not written for later readings.
-SMALL_BYTES = 4 << 20
+# A fixed value: bytes of the tables that a graph is made of, up to which it is not written for later readings.
+SMALL_BYTES = 16 << 20
 
 
 def global_rank(df: DataFrame, by: list[Column]) -> DataFrame:
@@ -83,7 +83,7 @@ class Graph:
         edges = self.edges
         if self.labels is not None:
             edges = edges.join(self.labels.select(F.col("id").alias("src"), F.col("label").alias("src_label")), "src")
-        edges.repartition("src").sortWithinPartitions("src", "dst").write.mode("overwrite").parquet(f"{path}/edges")
+        sources.dealt(edges, "src").sortWithinPartitions("src", "dst").write.mode("overwrite").parquet(f"{path}/edges")
 
     def vertex_table(self) -> DataFrame:
         """``id``, ``degree``, ``lower_degree`` and ``triangles`` of each vertex."""
@@ -114,13 +114,13 @@ class Graph:
 
     @cached_property
     def _adj(self) -> DataFrame:
-        return self.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+        return sources.dealt(self.edges, "src").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
 
     @cached_property
     def _stored(self) -> DataFrame:
         """The adjacency, to be read several times: that of a large input is written, that of a small one is worked out again."""
-        read = int(str(self._adj._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return self._adj if read < SMALL_BYTES else written(self._adj, "lists")
+        read = sources.bytes_read(self._adj)
+        return written(self._adj, "lists") if read is None or read > SMALL_BYTES else self._adj
 
     def lists(self, which: str = "all") -> Lists:
         """``nbrs`` of each ``id`` for lookups: 'all' neighbours, those 'below' the id, or 'labelled' ones, as ``labelled_adj`` has them."""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SPLIT = r"[\s,]+"
+# Bytes to read for each partition of ``dealt``, and its greatest number of partitions.
+PART_BYTES, MOST_PARTS = 4 << 20, 4000
 
 
 def read_snap(spark: SparkSession, path: str, mode: str = "DROPMALFORMED") -> DataFrame:
@@ -53,11 +55,31 @@ def never_broadcast(rows: DataFrame) -> DataFrame:
     return rows.hint("merge")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows in partitions by ``keys``, more of them the larger the tables they come from, so that a task's share doesn't grow with the input.
+
+    What is grouped by the keys next is not grouped before that shuffle too,
+    which would be for nothing where keys hardly repeat.
+    """
+    read = bytes_read(rows)
+    if read is None:
+        return rows.repartition(*keys)
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(least, min(-(-read // PART_BYTES), MOST_PARTS)), *keys)
+
+
+def bytes_read(df: DataFrame) -> int | None:
+    """Bytes of the tables that ``df`` comes from, or None where Spark doesn't know. Its estimate of what joins make of them is far too large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(sizes) if max(sizes) < 1 << 60 else None
+
+
 def symmetric(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``src``, ``dst`` in both directions, without loops, null ends and repeats."""
     clean = edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")).where("src != dst")
     # One shuffle: repeats go as ordered pairs, which are then told in both directions.
-    once = clean.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    once = dealt(clean.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")), "a", "b").distinct()
     return once.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
 
 
@@ -106,7 +128,8 @@ def read_changes(spark: SparkSession, path: str) -> DataFrame:
 
 def changes(rows: DataFrame) -> DataFrame:
     """Canonical changes from ``a``, ``b`` and ``add``: loops dropped, pairs ordered; a pair both added and removed ends as added."""
-    return rows.where("a != b").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.max(F.col("add").cast("int")).alias("add"))
+    pairs = rows.where("a != b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.col("add").cast("int").alias("add"))
+    return dealt(pairs, "src", "dst").groupBy("src", "dst").agg(F.max("add").alias("add"))
 
 
 def change_of(batch: DataFrame, pairs: DataFrame) -> DataFrame:

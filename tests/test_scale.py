@@ -41,3 +41,21 @@ def test_rows_go_once_to_each_block(spark, monkeypatch):
         assert g.triangles_by_vertex().agg(F.sum("triangles")).first()[0] == 3 * want["triangle", "edge"]
     plan = match(Graph.from_edges(edges), Pattern.named("triangle"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2 and "v1" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_more_input_is_dealt_into_more_partitions(spark, monkeypatch):
+    """A task's share of edges, neighbour lists and changes doesn't grow with the input."""
+    from pyspark.sql import functions as F
+
+    from motifloom import Graph
+    from motifloom.sources import edges as sources
+
+    monkeypatch.setattr(sources, "PART_BYTES", 8_000)  # a thousand ids
+    for n in (20_000, 80_000):
+        pairs = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1).alias("add"))
+        g = Graph.from_edges(pairs, "a", "b")
+        for df in (g.edges, g.adj(), sources.changes(pairs)):
+            assert f", {n // 1000}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+        assert g.edges.count() == 2 * n and sources.changes(pairs).count() == n
+    local = spark.createDataFrame([(1, 2)], "src long, dst long")  # of unknown size
+    assert "REPARTITION_BY_NUM" not in Graph.from_edges(local).edges._jdf.queryExecution().executedPlan().toString()
